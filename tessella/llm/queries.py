@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.llm import language_id, near_dedup
+from tessella.llm import language_id, near_dedup, substring_dedup
 from tessella.llm.common import table
 
 
@@ -20,5 +20,10 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
-QUERIES = {"op2_language_id": op2_language_id, "op4_near_dedup": op4_near_dedup}
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.remove_repeats(docs, width=35, keep_text=False).withColumnRenamed("kept", "kept_sha256")
+
+
+QUERIES = {"op2_language_id": op2_language_id, "op4_near_dedup": op4_near_dedup, "op6_substring_dedup": op6_substring_dedup}
 ORACLE_SQL: dict[str, str] = {}
