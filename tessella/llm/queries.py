@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.llm import language_id, near_dedup, substring_dedup
+from tessella.llm import language_id, near_dedup, packing, substring_dedup
 from tessella.llm.common import table
 
 
@@ -25,5 +26,9 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(docs, width=35, keep_text=False).withColumnRenamed("kept", "kept_sha256")
 
 
-QUERIES = {"op2_language_id": op2_language_id, "op4_near_dedup": op4_near_dedup, "op6_substring_dedup": op6_substring_dedup}
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096)
+
+
+QUERIES = {"op2_language_id": op2_language_id, "op4_near_dedup": op4_near_dedup, "op6_substring_dedup": op6_substring_dedup, "op8_packing": op8_packing}
 ORACLE_SQL: dict[str, str] = {}
