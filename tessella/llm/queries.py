@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.llm import language_id, near_dedup, packing, substring_dedup
+from tessella.llm import fingerprints, language_id, near_dedup, packing, substring_dedup, url_filter
 from tessella.llm.common import table
 
 
@@ -30,5 +30,33 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096)
 
 
-QUERIES = {"op2_language_id": op2_language_id, "op4_near_dedup": op4_near_dedup, "op6_substring_dedup": op6_substring_dedup, "op8_packing": op8_packing}
-ORACLE_SQL: dict[str, str] = {}
+#: The rules that the query applies.
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes are the labels that carry a page's id: bad if of low quality or toxic."""
+    labels = table(spark, sf_dir, "labels")
+    bad = F.when(F.col("quality").isNotNull() & F.col("toxic").isNotNull(), ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int"))
+    return url_filter.judge(table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")), URL_RULES)
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op2_language_id": op2_language_id,
+    "op4_near_dedup": op4_near_dedup,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op8_packing": op8_packing,
+    "op9_url_filter": op9_url_filter,
+    "op10_fingerprints": op10_fingerprints,
+}
+ORACLE_SQL = {"op9_url_filter": url_filter.oracle_sql(URL_RULES)}
