@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.llm import fingerprints, language_id, near_dedup, packing, substring_dedup, url_filter
+from tessella.llm import fingerprints, language_id, license_scan, near_dedup, packing, substring_dedup, url_filter
 from tessella.llm.common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licenses(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     net = language_id.fitted(docs)
@@ -52,6 +56,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_language_id": op2_language_id,
     "op4_near_dedup": op4_near_dedup,
     "op6_substring_dedup": op6_substring_dedup,
@@ -59,4 +64,4 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_fingerprints": op10_fingerprints,
 }
-ORACLE_SQL = {"op9_url_filter": url_filter.oracle_sql(URL_RULES)}
+ORACLE_SQL = {"op1_license_scan": license_scan.oracle_sql(), "op9_url_filter": url_filter.oracle_sql(URL_RULES)}
