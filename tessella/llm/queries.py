@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.llm import fingerprints, language_id, license_scan, near_dedup, packing, substring_dedup, url_filter
+from tessella.llm import decontamination, fingerprints, language_id, license_scan, near_dedup, packing, substring_dedup, url_filter
 from tessella.llm.common import table
 
 
@@ -25,6 +25,11 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.nullif("doc_id", F.lit(-1)).alias("doc_id"), "item_id", "start", "n_words", "common", "total")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup.remove_repeats(docs, width=35, keep_text=False).withColumnRenamed("kept", "kept_sha256")
@@ -59,6 +64,7 @@ QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_language_id": op2_language_id,
     "op4_near_dedup": op4_near_dedup,
+    "op5_decontamination": op5_decontamination,
     "op6_substring_dedup": op6_substring_dedup,
     "op8_packing": op8_packing,
     "op9_url_filter": op9_url_filter,
