@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.llm import decontamination, fingerprints, language_id, license_scan, near_dedup, packing, substring_dedup, url_filter
+from tessella.llm import decontamination, fingerprints, html_extraction, language_id, license_scan, near_dedup, packing, substring_dedup, url_filter
 from tessella.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(docs, width=35, keep_text=False).withColumnRenamed("kept", "kept_sha256")
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096)
 
@@ -66,6 +70,7 @@ QUERIES = {
     "op4_near_dedup": op4_near_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_html_extraction": op7_html_extraction,
     "op8_packing": op8_packing,
     "op9_url_filter": op9_url_filter,
     "op10_fingerprints": op10_fingerprints,
