@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.llm import decontamination, fingerprints, html_extraction, language_id, license_scan, near_dedup, packing, substring_dedup, url_filter
+from tessella.llm import decontamination, fingerprints, html_extraction, language_id, license_scan, near_dedup, packing, quality, substring_dedup, url_filter
 from tessella.llm.common import table
 
 
@@ -21,6 +21,14 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target texts are labelled as good and not toxic; as large a share is sampled as they have of all labelled rows."""
+    labels = table(spark, sf_dir, "labels").filter("quality is not null and toxic is not null")
+    good = (F.col("quality") == 1) & (F.col("toxic") == 0)
+    share = labels.agg(F.avg(good.cast("double"))).first()[0]
+    return quality.resample(table(spark, sf_dir, "documents"), labels.filter(good), 1.0 if share is None else share)
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
@@ -64,9 +72,16 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_language_id": op2_language_id,
+    "op3_quality": op3_quality,
     "op4_near_dedup": op4_near_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_substring_dedup": op6_substring_dedup,
@@ -74,5 +89,6 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_url_filter": op9_url_filter,
     "op10_fingerprints": op10_fingerprints,
+    "pipeline": pipeline,
 }
 ORACLE_SQL = {"op1_license_scan": license_scan.oracle_sql(), "op9_url_filter": url_filter.oracle_sql(URL_RULES)}
