@@ -6,8 +6,9 @@ minwise coordinates at random and, with the probability that makes up for the
 similarity threshold, a second one; a document goes to the child named by its
 minwise token there. Similar documents therefore keep meeting: at the threshold
 a pair has about one common child a level. Small nodes are compared
-exhaustively on full sets, large ones are branched again, and independent trees
-are repeated until the recall target is met. Exact copies of a set are folded to
+exhaustively, first by sketches of 64 bytes that rule out what is clearly
+different, then on full sets; large nodes are branched again, and independent
+trees are repeated until the recall target is met. Exact copies of a set are folded to
 one representative first.
 
 Scale: tree keys are made by each document alone; node sizes are combinable
@@ -37,12 +38,14 @@ from tessella.llm.components import components
 from tessella.llm.textkit import U64
 
 #: Trees, coordinates of the minwise embedding, levels of branching.
-TREES, COORDINATES, DEPTH = 9, 64, 12
+TREES, COORDINATES, DEPTH = 9, 64, 8
 #: A node with at most so many documents and shingles in all is compared exhaustively.
-NODE_ROWS, NODE_SHINGLES = 256, 1_000_000
+NODE_ROWS, NODE_SHINGLES = 1000, 1_000_000
 _SEEDS = textkit.mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15))
 _SIGNED = pa.int64()
 _KEPT_BYTES = 6
+#: Deviations below the threshold at which a sketch rules a pair out: it errs for one pair in 20,000 at the threshold.
+_SLACK = 3.9
 
 
 def _sets(batch: pa.RecordBatch, text_at: str, k: int):
@@ -74,45 +77,116 @@ def _roots(threshold: float) -> list[int]:
     return found
 
 
+def _minwise(grams: np.ndarray) -> np.ndarray:
+    """The least of the set's 32-bit hashes at each coordinate."""
+    low = (grams & U64(0xFFFFFFFF)).astype(np.uint32)
+    flip, odd = (_SEEDS & U64(0xFFFFFFFF)).astype(np.uint32), (_SEEDS >> U64(32)).astype(np.uint32) | np.uint32(1)
+    least = np.full(COORDINATES, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(low), 4096):
+        part = (low[at : at + 4096, None] ^ flip) * odd
+        least = np.minimum(least, (part ^ (part >> np.uint32(15))).min(0))
+    return least
+
+
 def _sketch(text_at: str, k: int, roots: list[int]):
-    """Per document: set size, 128-bit set digest, child keys of the roots."""
+    """Per document: set size, 128-bit set digest, child keys of the roots, minwise tokens, and their low bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = textkit.mix(np.array(roots, U64) + U64(0xABCDEF12345))
         for batch in batches:
-            sizes, digests, keys = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows, np.zeros((batch.num_rows, len(roots)), np.int64)
+            n = batch.num_rows
+            sizes, digests, bits = np.zeros(n, np.int64), [None] * n, [None] * n
+            keys, signs = np.zeros((n, len(roots)), np.int64), np.zeros((n, COORDINATES), np.int32)
             for i, grams in _sets(batch, text_at, k):
                 sizes[i] = len(grams)
                 if len(grams):
                     digests[i] = xxhash.xxh3_128_digest(grams.tobytes())
                     least = np.array([textkit.mix(grams ^ s).min() for s in seeds])
                     keys[i] = textkit.mix(least ^ (seeds * U64(3))).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * len(roots), pa.int32()), pa.array(keys.ravel()))
+                    tokens = _minwise(grams)
+                    signs[i] = tokens.view(np.int32)
+                    bits[i] = (tokens & np.uint32(255)).astype(np.uint8).tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes), pa.array(digests, pa.binary()), lists], names=["doc_id", "n_shingles", "digest", "keys"]
+                [batch.column("doc_id"), pa.array(sizes), pa.array(digests, pa.binary()), _lists(keys), _lists(signs), pa.array(bits, pa.binary())],
+                names=["doc_id", "n_shingles", "digest", "keys", "sign", "bits"],
             )
 
     return run
 
 
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel()))
+
+
 def _full(text_at: str, k: int):
-    """Per document: minwise tokens at all coordinates, and the set itself (the low 48 bits of each hash)."""
+    """Per document the set itself (the low 48 bits of each hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            signs, sets = np.zeros((batch.num_rows, COORDINATES), np.int32), [None] * batch.num_rows
+            sets = [None] * batch.num_rows
             for i, grams in _sets(batch, text_at, k):
                 if len(grams):
-                    low = (grams & U64(0xFFFFFFFF)).astype(np.uint32)
-                    odd = (_SEEDS >> U64(32)).astype(np.uint32) | np.uint32(1)
-                    least = np.full(COORDINATES, 0xFFFFFFFF, np.uint32)
-                    for at in range(0, len(low), 4096):
-                        part = (low[at : at + 4096, None] ^ (_SEEDS & U64(0xFFFFFFFF)).astype(np.uint32)) * odd
-                        least = np.minimum(least, (part ^ (part >> np.uint32(15))).min(0))
-                    signs[i] = least.view(np.int32)
                     sets[i] = np.unique(grams & U64(0xFFFFFFFFFFFF)).view(np.uint8).reshape(-1, 8)[:, :_KEPT_BYTES].tobytes()
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * COORDINATES, pa.int32()), pa.array(signs.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(sets, pa.binary())], names=["rep", "sign", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["rep", "grams"])
+
+    return run
+
+
+def classes(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The least member of each of n items' class, given links."""
+    parent = list(range(n))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for x, y in zip(left.tolist(), right.tolist(), strict=True):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+    return np.array([root(i) for i in range(n)])
+
+
+def _nodes(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list[list]]:
+    """Columns of each node's rows, from rows sorted by node; a node may run over several batches."""
+    node, rows = None, [[] for _ in names]
+    for batch in batches:
+        for key, *values in zip(*(batch.column(x).to_pylist() for x in ("node", *names)), strict=True):
+            if key != node:
+                if rows[0]:
+                    yield rows
+                node, rows = key, [[] for _ in names]
+            for column, value in zip(rows, values, strict=True):
+                column.append(value)
+    if rows[0]:
+        yield rows
+
+
+def _screen(percent: int):
+    """Rows (node, rep, n, bits) of small nodes to lists of the representatives that their sketches don't keep apart."""
+    share = percent / 100
+    least = int(np.ceil(COORDINATES * (share + (1 - share) / 256) - _SLACK * np.sqrt(COORDINATES * share * (1 - share))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list[int]] = []
+        for reps, sizes, bits in _nodes(batches, ("rep", "n", "bits")):
+            n, size = len(reps), np.array(sizes)
+            grid = np.frombuffer(b"".join(bits), np.uint8).reshape(n, COORDINATES)
+            same = np.zeros((n, n), np.uint8)
+            for c in range(COORDINATES):
+                same += grid[:, c, None] == grid[None, :, c]
+            near = (same >= least) & (100 * size[:, None] >= percent * size[None]) & (100 * size[None] >= percent * size[:, None])
+            of = classes(n, *np.nonzero(np.triu(near, 1)))
+            for root in np.unique(of):
+                members = np.flatnonzero(of == root)
+                if len(members) > 1:
+                    out.append(sorted(reps[i] for i in members))
+            if len(out) > 5000:
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], names=["reps"])
+                out = []
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], names=["reps"])
 
     return run
 
@@ -126,6 +200,8 @@ def unpacked(raw: bytes) -> np.ndarray:
 def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Pairs (least of its class, member) for the classes that links of the given sets make; all pairs are compared."""
     n, sizes = len(sets), np.array([len(s) for s in sets])
+    if n < 2:
+        return []
     if n == 2:
         both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         return [(0, 1)] if 100 * both >= percent * (sizes.sum() - both) else []
@@ -144,44 +220,21 @@ def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
         grid[owners[a:b], columns[a:b] - at] = 1
         common += grid @ grid.T
     common = np.rint(common).astype(np.int64)
-    left, right = np.nonzero(np.triu(100 * common >= percent * (sizes[:, None] + sizes[None] - common), 1))
-    parent = list(range(n))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for x, y in zip(left.tolist(), right.tolist(), strict=True):
-        x, y = root(x), root(y)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-    return [(root(i), i) for i in range(n) if root(i) != i]
+    of = classes(n, *np.nonzero(np.triu(100 * common >= percent * (sizes[:, None] + sizes[None] - common), 1)))
+    return [(int(root), i) for i, root in enumerate(of) if root != i]
 
 
 def _compare(percent: int):
     """Rows (node, rep, grams), sorted by node within the partition, to confirmed edges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, reps, sets, out = None, [], [], []
-
-        def close() -> None:
-            if len(reps) > 1:
-                order = np.argsort(np.array(reps), kind="stable")
-                out.extend((reps[order[x]], reps[order[y]]) for x, y in linked([sets[i] for i in order], percent))
-
-        for batch in batches:
-            for key, rep, raw in zip(batch.column("node").to_pylist(), batch.column("rep").to_pylist(), batch.column("grams"), strict=True):
-                if key != node:
-                    close()
-                    node, reps, sets = key, [], []
-                reps.append(rep)
-                sets.append(unpacked(raw.as_py()))
+        out: list[tuple[int, int]] = []
+        for reps, raw in _nodes(batches, ("rep", "grams")):
+            order = np.argsort(np.array(reps), kind="stable")
+            out.extend((reps[order[x]], reps[order[y]]) for x, y in linked([unpacked(raw[i]) for i in order], percent))
             if len(out) > 10_000:
                 yield _edges(out)
                 out = []
-        close()
         yield _edges(out)
 
     return run
@@ -208,48 +261,50 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark, work, threshold = docs.sparkSession, Workspace(docs.sparkSession), percent / 100
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     roots = _roots(threshold)
-    sketch = work.put(texts.mapInArrow(_sketch("text", k, roots), "doc_id long, n_shingles long, digest binary, keys array<long>"))
+    sketch = work.put(texts.mapInArrow(_sketch("text", k, roots), "doc_id long, n_shingles long, digest binary, keys array<long>, sign array<int>, bits binary"))
     named = sketch.filter("doc_id is not null and digest is not null")
     heads = named.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     copies = named.select("doc_id", "digest").join(heads, "digest").filter("doc_id <> rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
     # a representative's keys and size; rows that repeat an id with another text stay rows of their own
-    reps = named.join(heads.withColumnRenamed("rep", "doc_id"), ["digest", "doc_id"], "left_semi").dropDuplicates(["doc_id", "digest"])
-    rows = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("keys").alias("node")).distinct()
-    rows = work.put(_met(rows, work))
-    candidates = rows.select(F.col("rep").alias("doc_id")).distinct()
-    full = work.put(texts.filter("doc_id is not null").join(candidates, "doc_id", "left_semi").mapInArrow(_full("text", k), "rep long, sign array<int>, grams binary").filter("grams is not null"))
+    reps = named.join(heads.withColumnRenamed("rep", "doc_id"), ["digest", "doc_id"], "left_semi").dropDuplicates(["doc_id", "digest"]).withColumnRenamed("doc_id", "rep")
+    rows = work.put(_met(reps.select("rep", F.col("n_shingles").alias("n"), F.explode("keys").alias("node")).distinct()))
     lists = []
     for level in range(DEPTH + 1):
-        small = F.col("n_rows") <= NODE_ROWS
-        small = small & (F.col("n_shingles") <= NODE_SHINGLES) | (F.col("n_rows") == 2)
-        lists.append(work.put(rows.filter(small).groupBy("node").agg(F.sort_array(F.collect_set("rep")).alias("reps")).select("reps").distinct()))
+        small = (F.col("n_rows") <= NODE_ROWS) & (F.col("n_shingles") <= NODE_SHINGLES) | (F.col("n_rows") == 2)
+        lists.append(work.put(_listed(rows.filter(small))))
         large = rows.filter(~small)
         if large.isEmpty():
             break
         if level == DEPTH:
             blocks = F.greatest(F.ceil(F.col("n_rows") / NODE_ROWS), F.ceil(F.col("n_shingles") / NODE_SHINGLES))
-            dealt = large.select("rep", F.xxhash64("node", F.pmod(F.xxhash64("node", "rep"), blocks)).alias("node"))
-            lists.append(work.put(dealt.groupBy("node").agg(F.sort_array(F.collect_set("rep")).alias("reps")).select("reps").distinct()))
+            lists.append(work.put(_listed(large.select("rep", F.xxhash64("node", F.pmod(F.xxhash64("node", "rep"), blocks)).alias("node")))))
             break
-        deeper = large.select("rep", "n", "node").join(full.select("rep", "sign"), "rep").select("rep", "n", F.explode(_children(threshold)).alias("node"))
-        rows = work.put(_met(deeper.distinct(), work))
+        deeper = large.select("rep", "n", "node").join(reps.select("rep", "sign"), "rep").select("rep", "n", F.explode(_children(threshold)).alias("node"))
+        rows = work.put(_met(deeper.distinct()))
     nodes = lists[0]
     for more in lists[1:]:
         nodes = nodes.union(more)
-    members = nodes.distinct().select(F.xxhash64("reps").alias("node"), F.explode("reps").alias("rep"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = members.join(full.select("rep", "grams"), "rep").repartition(n, "node").sortWithinPartitions("node")
-    edges = dealt.mapInArrow(_compare(percent), "u long, v long")
-    classes = components(edges.union(copies), work).withColumnRenamed("vertex", "doc_id")
+    together = lambda nodes, facts: nodes.distinct().select(F.xxhash64("reps").alias("node"), F.explode("reps").alias("rep")).join(facts, "rep").repartition(n, "node").sortWithinPartitions("node")
+    screened = work.put(together(nodes, reps.select("rep", F.col("n_shingles").alias("n"), "bits")).mapInArrow(_screen(percent), "reps array<long>").distinct())
+    candidates = screened.select(F.explode("reps").alias("doc_id")).distinct()
+    full = texts.filter("doc_id is not null").join(candidates, "doc_id", "left_semi").mapInArrow(_full("text", k), "rep long, grams binary").filter("grams is not null")
+    edges = together(screened, full).mapInArrow(_compare(percent), "u long, v long")
+    linked_ = components(edges.union(copies), work).withColumnRenamed("vertex", "doc_id")
     return (
         sketch.select("doc_id", "n_shingles")
-        .join(classes, "doc_id", "left")
+        .join(linked_, "doc_id", "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 
 
-def _met(rows: DataFrame, work: Workspace) -> DataFrame:
+def _met(rows: DataFrame) -> DataFrame:
     """Rows (rep, n, node) of nodes where at least two representatives meet, with the node's size."""
     sizes = rows.groupBy("node").agg(F.count("*").alias("n_rows"), F.sum("n").alias("n_shingles")).filter("n_rows > 1")
     return rows.join(sizes, "node")
+
+
+def _listed(rows: DataFrame) -> DataFrame:
+    """The distinct lists of representatives of nodes of bounded size."""
+    return rows.groupBy("node").agg(F.sort_array(F.collect_set("rep")).alias("reps")).select("reps").distinct()
