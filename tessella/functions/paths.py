@@ -69,9 +69,6 @@ class Values:
         return F.coalesce(found, F.lit(False))
 
 
-NOTHING = Values(F.lit(None).cast("string"), T.StringType(), True)
-
-
 class TypedBackend:
     """Paths over the columns of a DataFrame with a schema."""
 

@@ -42,8 +42,7 @@ def scan_sources(spark: SparkSession, root: str, extensions: tuple[str, ...] = (
     patterns = list(exclude or [])
     if gitignore:
         patterns += IGNORED
-        found = spark.read.format("binaryFile").option("pathGlobFilter", ".gitignore").load(root).select("content").head(1) if _exists(spark, f"{root.rstrip('/')}/.gitignore") else []
-        patterns += found[0][0].decode("utf-8", "replace").splitlines() if found else []
+        patterns += _text(spark, f"{root.rstrip('/')}/.gitignore").splitlines()
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
     full = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*{" + ",".join(extensions) + "}").load(root)
@@ -52,6 +51,18 @@ def scan_sources(spark: SparkSession, root: str, extensions: tuple[str, ...] = (
     return rows.select("path", "relativePath", F.col("length").alias("size"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("lastModified"), "content")
 
 
+def _text(spark: SparkSession, path: str) -> str:
+    """A small file that Spark's sources skip as hidden; empty if it is missing."""
+    if not _exists(spark, path):
+        return ""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
@@ -111,13 +122,17 @@ class KnowledgeBase:
         return cls(spark, read(FILE_SYMBOLS, "symbols/by-file"), read(FILES, "files.json"), read(META, "meta.json").first().asDict())
 
     def to_json(self, root: str) -> None:
-        """Export in the JSON layout, a line for each row."""
-        self.file_symbols.write.mode("overwrite").json(f"{root}/symbols/by-file")
-        namespaces(self.file_symbols).write.mode("overwrite").json(f"{root}/symbols/by-namespace")
+        """Export in the JSON layout, a file for each row."""
+
+        def put(df: DataFrame, at: str) -> None:
+            df.write.mode("overwrite").option("maxRecordsPerFile", 1).json(f"{root}/{at}")
+
+        put(self.file_symbols, "symbols/by-file")
+        put(namespaces(self.file_symbols), "symbols/by-namespace")
         if self.files is not None:
-            self.files.write.mode("overwrite").json(f"{root}/files.json")
+            put(self.files, "files.json")
         if self.meta:
-            self.spark.createDataFrame([tuple(self.meta.get(n) for n in META.fieldNames())], META).coalesce(1).write.mode("overwrite").json(f"{root}/meta.json")
+            put(self.spark.createDataFrame([tuple(self.meta.get(n) for n in META.fieldNames())], META).coalesce(1), "meta.json")
 
     @cached_property
     def symbols(self) -> DataFrame:
