@@ -40,7 +40,7 @@ from tessella.llm.textkit import U64
 #: Trees, coordinates of the minwise embedding, levels of branching.
 TREES, COORDINATES, DEPTH = 9, 64, 8
 #: A node with at most so many documents and shingles in all is compared exhaustively.
-NODE_ROWS, NODE_SHINGLES = 1000, 1_000_000
+NODE_ROWS, NODE_SHINGLES = 2000, 1_000_000
 _SEEDS = textkit.mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15))
 _SIGNED = pa.int64()
 _KEPT_BYTES = 6
@@ -219,8 +219,8 @@ def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
         grid = np.zeros((n, 4096), np.float32)
         grid[owners[a:b], columns[a:b] - at] = 1
         common += grid @ grid.T
-    common = np.rint(common).astype(np.int64)
-    of = classes(n, *np.nonzero(np.triu(100 * common >= percent * (sizes[:, None] + sizes[None] - common), 1)))
+    common, sizes = np.rint(common).astype(np.int32), sizes.astype(np.int32)
+    of = classes(n, *np.nonzero(np.triu((100 + percent) * common >= percent * (sizes[:, None] + sizes[None]), 1)))
     return [(int(root), i) for i, root in enumerate(of) if root != i]
 
 
