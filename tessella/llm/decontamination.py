@@ -122,3 +122,24 @@ def _runs(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.xxhash64(F.concat_ws(" ", F.slice(tokens, i, n))))).otherwise(
         F.array().cast("array<long>")
     )
+
+
+def oracle_sql(k: int = SHINGLE, percent: int = PERCENT) -> str:
+    """The same for DuckDB, over documents and benchmark with items of k words or more, without fingerprints."""
+    split = r"string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ')"
+    grams = f"unnest(range(0, len(w) - {k - 1})) AS pos"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {split} AS w FROM (SELECT DISTINCT doc_id, text FROM documents)),
+i AS (SELECT item_id, {split} AS w FROM benchmark),
+ds AS (SELECT row, pos, array_to_string(list_slice(w, pos + 1, pos + {k}), ' ') AS g FROM (SELECT row, w, {grams} FROM d WHERE len(w) >= {k})),
+its AS (SELECT item_id, pos, array_to_string(list_slice(w, pos + 1, pos + {k}), ' ') AS g FROM (SELECT item_id, w, {grams} FROM i WHERE len(w) >= {k})),
+spots AS (
+  SELECT DISTINCT row, item_id, greatest(0, least(ds.pos - its.pos, len(d.w) - len(i.w))) AS start, len(i.w) AS n
+  FROM ds JOIN its USING (g) JOIN d USING (row) JOIN i USING (item_id)),
+have AS (SELECT row, item_id, start, n, g, count(*) AS c FROM spots JOIN ds USING (row) WHERE pos >= start AND pos <= start + n - {k} GROUP BY ALL),
+want AS (SELECT item_id, g, count(*) AS c FROM its GROUP BY ALL),
+common_ AS (
+  SELECT row, item_id, start, n, sum(least(have.c, coalesce(want.c, 0))) AS common, sum(have.c) AS own FROM have LEFT JOIN want USING (item_id, g) GROUP BY ALL),
+found AS (SELECT *, own + n - {k - 1} - common AS total FROM common_ WHERE common * 100 >= (own + n - {k - 1} - common) * {percent})
+SELECT doc_id, item_id, CAST(start AS BIGINT) AS start, CAST(n AS BIGINT) AS n_words, CAST(common AS BIGINT) AS common, CAST(total AS BIGINT) AS total
+FROM found JOIN d USING (row) QUALIFY row_number() OVER (PARTITION BY row, item_id ORDER BY common / total DESC, start) = 1"""

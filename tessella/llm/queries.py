@@ -91,4 +91,8 @@ QUERIES = {
     "op10_fingerprints": op10_fingerprints,
     "pipeline": pipeline,
 }
-ORACLE_SQL = {"op1_license_scan": license_scan.oracle_sql(), "op9_url_filter": url_filter.oracle_sql(URL_RULES)}
+ORACLE_SQL = {
+    "op1_license_scan": license_scan.oracle_sql(),
+    "op5_decontamination": decontamination.oracle_sql(),
+    "op9_url_filter": url_filter.oracle_sql(URL_RULES),
+}

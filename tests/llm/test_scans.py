@@ -147,7 +147,7 @@ def test_reputation(spark):
     assert [tuple(r) for r in found] == [("b.co.uk", "co.uk"), ("b.co.uk", "co.uk"), ("y.org", "org"), ("org", "org")]
 
 
-@pytest.mark.parametrize("name", ["op1_license_scan", "op9_url_filter"])
+@pytest.mark.parametrize("name", ["op1_license_scan", "op5_decontamination", "op9_url_filter"])
 def test_sql_agrees(spark, name):
     import os
 
