@@ -49,7 +49,7 @@ def _parser() -> argparse.ArgumentParser:
     command("export", "project", namespace={}, file={}, format={"choices": ["json", "md"], "default": "json"})
     command("context", "project", "task", max_files=number | {"default": 10}, exclude=many)
     command("chat", "project", "question")
-    command("serve", port=number | {"default": 3030})
+    command("serve", port=number | {"default": 3030}, stdio=flag)
     return p
 
 
@@ -122,9 +122,10 @@ def run(argv: list[str], spark: SparkSession | None = None) -> str:
         case "chat":
             return t.ask(a.project, a.question)["answer"]
         case "serve":
+            from tessella.rpc import serve_lines
             from tessella.server import serve
 
-            serve(t, a.port)
+            serve_lines(t, sys.stdin, sys.stdout) if a.stdio else serve(t, a.port)
             return ""
     raise AssertionError(a.command)
 
