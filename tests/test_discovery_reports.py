@@ -56,7 +56,7 @@ def game(tmp_path_factory):
         spans[f"Player:{i:x}"] = (times[-1] - times[0]) / day if n else None
         devices = [{"firstLogin": times[0], "lastLogin": times[-1]}] if n else []
         players.append({"entityId": f"Player:{i:x}", "payload": {"characterRoster": {"characterIds": list(range(rng.randint(0, 3)))}, "deviceHistory": devices if i % 2 else {"d": devices[0]} if n else {}, "loginHistory": [{"timestamp": t} for t in times]}})
-    chars = [{"entityId": f"PlayerCharacter:{i:x}", "payload": {"playerId": f"Player:{rng.randrange(127):x}", "character": {"characterClassId": rng.choice(["Thor_Class", "Loki_Class"])}, "level": rng.randint(1, 9) if i % 5 else None, "equippedItems": [{"itemLevel": rng.randint(1, 50)}] * rng.randint(0, 3), "gear": [1]}} for i in range(210)]
+    chars = [{"entityId": f"PlayerCharacter:{i:x}", "payload": {"playerId": f"Player:{rng.randrange(127):x}", "character": {"characterClassId": rng.choice(["Mage_Class", "Monk_Class"])}, "level": rng.randint(1, 9) if i % 5 else None, "equippedItems": [{"itemLevel": rng.randint(1, 50)}] * rng.randint(0, 3), "gear": [1]}} for i in range(210)]
     write(folder / "live.json", [*players, {"entityId": "Guild:1"}, {"entityId": 5}])
     write(folder / "chars.json", chars)
     return str(folder), players, chars, spans
