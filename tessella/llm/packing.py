@@ -34,7 +34,7 @@ from tessella.llm.common import Workspace
 CAPACITY = 4096
 END_ID = 1
 #: Distinct words whose ids a worker remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
 
 
 def _fullest(counts: list[int], lengths: list[int], room: int) -> list[int]:
@@ -109,20 +109,65 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-_ids: dict[int, tuple] = {}
+#: A control character that the vocabulary has a token for; it parts words that are tokenised as one text.
+_PARTING = "\x01"
+#: Words that are tokenised as one text.
+_TOGETHER = 512
+
+
+def _encode(path: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words one after another, and the number of each word's."""
+    tokenizer = _tokenizer(path)
+    (parting,) = tokenizer.encode(_PARTING, add_special_tokens=False).ids
+    runs = [words[i : i + _TOGETHER] for i in range(0, len(words), _TOGETHER)]
+    got = tokenizer.encode_batch_fast([f" {_PARTING} ".join(run) for run in runs], add_special_tokens=False)
+    flat, sizes = [], []
+    for run, enc in zip(runs, got, strict=True):
+        ids = np.array(enc.ids, np.uint32)
+        cuts = np.flatnonzero(ids == parting)
+        if len(cuts) != len(run) - 1:  # a word holds the character itself
+            each = [x.ids for x in tokenizer.encode_batch_fast(run, add_special_tokens=False)]
+            flat.append(np.array([y for x in each for y in x], np.uint32))
+            sizes.append(np.array([len(x) for x in each], np.int64))
+        else:
+            flat.append(ids[ids != parting])
+            sizes.append(np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
+    return np.concatenate(flat), np.concatenate(sizes)
+
+
+class _Vocabulary:
+    """Ids of words by their hash, for at most CACHE_WORDS words besides those of the text at hand."""
+
+    def __init__(self, path: str):
+        self.path = path
+        self.hashes, self.begin, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def look_up(self, hashes: np.ndarray, word) -> tuple[np.ndarray, np.ndarray]:
+        """Begin in `flat` and number of ids of each of the sorted distinct hashes; word(i) is the text of the i-th."""
+        for _ in range(2):
+            at = np.searchsorted(self.hashes, hashes)
+            known = np.zeros(len(hashes), bool)
+            inside = at < len(self.hashes)
+            known[inside] = self.hashes[at[inside]] == hashes[inside]
+            missing = np.flatnonzero(~known)
+            if not len(missing):
+                break
+            if len(self.hashes) and len(self.hashes) + len(missing) > CACHE_WORDS:
+                self.__init__(self.path)
+                continue
+            flat, size = _encode(self.path, [word(i) for i in missing])
+            begin = len(self.flat) + np.cumsum(size) - size
+            self.hashes = np.insert(self.hashes, at[missing], hashes[missing])
+            self.begin, self.size = np.insert(self.begin, at[missing], begin), np.insert(self.size, at[missing], size)
+            self.flat = np.concatenate([self.flat, flat])
+            break
+        at = np.searchsorted(self.hashes, hashes)
+        return self.begin[at], self.size[at]
 
 
-def _word_ids(path: str, hashes: np.ndarray, words) -> list[tuple]:
-    """Token ids of distinct words, remembered by their hash up to CACHE_WORDS."""
-    missing = [i for i, h in enumerate(hashes.tolist()) if h not in _ids]
-    if len(_ids) + len(missing) > CACHE_WORDS:
-        _ids.clear()
-        missing = list(range(len(hashes)))
-    if missing:
-        got = _tokenizer(path).encode_batch_fast([words(i) for i in missing], add_special_tokens=False)
-        for i, enc in zip(missing, got, strict=True):
-            _ids[int(hashes[i])] = tuple(enc.ids)
-    return [_ids[h] for h in hashes.tolist()]
+@lru_cache(maxsize=1)
+def _vocabulary(path: str) -> _Vocabulary:
+    return _Vocabulary(path)
 
 
 def _pieces(path: str, capacity: int):
@@ -133,18 +178,16 @@ def _pieces(path: str, capacity: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = _vocabulary(path)
         for batch in batches:
             out = {x: [] for x in ("row", "piece", "start", "length", "ids_crc32")}
             for first, data, offs in textkit.pieces(batch.column("text")):
                 words = textkit.Words(data, offs)
                 raw = data.tobytes()
                 hashes, at, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
-                ids = _word_ids(path, hashes, lambda i, at=at, words=words, raw=raw: raw[words.start[at[i]] : words.stop[at[i]]].decode())
-                sizes = np.array([len(x) for x in ids], np.int64)
-                flat = np.fromiter((y for x in ids for y in x), np.uint32, int(sizes.sum()))
-                begin = np.cumsum(sizes) - sizes
+                begin, sizes = vocabulary.look_up(hashes, lambda i, at=at, words=words, raw=raw: raw[words.start[at[i]] : words.stop[at[i]]].decode())
                 each = sizes[inverse]
-                stream = flat[np.repeat(begin[inverse], each) + textkit.ramp(each)] if len(each) else np.zeros(0, np.uint32)
+                stream = vocabulary.flat[np.repeat(begin[inverse], each) + textkit.ramp(each)]
                 bounds = np.append(0, np.cumsum(each))[words.first]
                 for i in range(len(offs) - 1):
                     tokens = np.append(stream[bounds[i] : bounds[i + 1]], np.uint32(END_ID)).astype("<u4")

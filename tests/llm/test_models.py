@@ -194,6 +194,11 @@ def test_patterns_are_full():
 
 def test_word_cache_is_bounded(monkeypatch, tokenizer):
     monkeypatch.setattr(packing, "CACHE_WORDS", 3)
-    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a b c d e", "c d x"])], names=["doc_id", "text"])
-    (out,) = packing._pieces(tokenizer, 4096)(iter([batch]))
-    assert out.column("length").to_pylist() == [6, 4] and len(packing._ids) <= 8
+    packing._vocabulary.cache_clear()
+    texts = ["a b c d e", "c d x", "<|startoftext|> a", "y<|endoftext|>z", "", "q \x01 r", "s\x01t u"]
+    for text, n in zip(texts, (6, 4, 3, 4, 1, 4, 5), strict=True):
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], names=["doc_id", "text"])
+        (out,) = packing._pieces(tokenizer, 4096)(iter([batch]))
+        assert out.column("length").to_pylist() == [n]
+        assert len(packing._vocabulary(tokenizer).hashes) <= 7
+    packing._vocabulary.cache_clear()
