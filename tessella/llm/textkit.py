@@ -55,7 +55,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offs
 
 
-def pieces(column: pa.Array, limit: int = 1 << 20):
+def pieces(column: pa.Array, limit: int = 1 << 18):
     """(first row, bytes, local offsets) for runs of whole texts of about `limit` bytes."""
     data, offs = buffers(column)
     row, n = 0, len(offs) - 1
