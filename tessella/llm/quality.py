@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from tessella.llm import textkit
@@ -44,6 +45,21 @@ def _grams(words: textkit.Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([single, (pairs % U64(BUCKETS)).astype(np.int64) + BUCKETS]), np.concatenate([rows, pair_rows])
 
 
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts to compressed bytes, which shuffle at about half the size."""
+    press = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        body = [press.compress(t.as_buffer()) for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(body, pa.binary())], names=["doc_id", "body"])
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    press = zstandard.ZstdDecompressor()
+    for batch in batches:
+        texts = [press.decompress(b.as_buffer()) for b in batch.column("body")]
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()).cast(pa.string())], names=["text"])
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(2 * BUCKETS, np.int64)
     for batch in batches:
@@ -54,8 +70,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def counts(texts: DataFrame) -> np.ndarray:
-    """Counts of all buckets over a column `text`; 2 * BUCKETS numbers."""
-    rows = texts.select("text").mapInArrow(_count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    """Counts of all buckets over a column `text`, or `body` with compressed texts; 2 * BUCKETS numbers."""
+    many = (lambda b: _count(_spread(b))) if "body" in texts.columns else _count
+    rows = texts.mapInArrow(many, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(2 * BUCKETS)
     out[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
     return out
@@ -119,8 +136,10 @@ def resample(docs: DataFrame, target_ids: DataFrame, share: float, id_col: str =
     """
     work = Workspace(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    target = counts(texts.join(target_ids.select("doc_id"), "doc_id", "left_semi"))
-    ratio = log_ratio(target, counts(texts)).astype(np.float32).astype(np.float64)
+    # a join by shuffle at every size: how many labels there are is not known
+    bodies = texts.filter("text is not null and doc_id is not null").mapInArrow(_squeeze, "doc_id long, body binary")
+    target = counts(bodies.join(target_ids.select("doc_id").hint("merge"), "doc_id", "left_semi").select("body"))
+    ratio = log_ratio(target, counts(texts.select("text"))).astype(np.float32).astype(np.float64)
     shared = docs.sparkSession.sparkContext.broadcast(ratio.astype(np.float32))  # 4 bytes x 2 x BUCKETS
     scored = texts.mapInArrow(lambda batches: _score(shared.value.astype(np.float64))(batches), "doc_id long, n_features long, log_weight double")
     draw = (F.pmod(F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1))), F.lit(1 << 52)) + 0.5) / float(1 << 52)
