@@ -13,9 +13,12 @@ one representative first.
 
 Scale: tree keys are made by each document alone; node sizes are combinable
 counts; only nodes of bounded size and bounded total set size are ever gathered
-in one task. A node that cannot be separated within DEPTH levels holds documents
-that are nearly all alike; it is dealt into bounded blocks, other ones in each
-tree, so that its documents stay connected.
+in one task. A node that cannot be separated within DEPTH levels is first dealt
+into bounded blocks, which join documents that are nearly all alike. Then every
+two of its documents that are still in different components are compared, block
+against block: the members of its largest component, already joined, only meet
+the others, so a node of near copies costs in proportion to its size, and one of
+documents that share a template but no link costs the square of its size.
 
 Defined cases: a null text or one without words has an empty set and is linked
 with nothing; rows that share a doc_id are one vertex; a row without doc_id
@@ -268,7 +271,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a representative's keys and size; rows that repeat an id with another text stay rows of their own
     reps = named.join(heads.withColumnRenamed("rep", "doc_id"), ["digest", "doc_id"], "left_semi").dropDuplicates(["doc_id", "digest"]).withColumnRenamed("doc_id", "rep")
     rows = work.put(_met(reps.select("rep", F.col("n_shingles").alias("n"), F.explode("keys").alias("node")).distinct()))
-    lists = []
+    lists, crowded = [], None
     for level in range(DEPTH + 1):
         small = (F.col("n_rows") <= NODE_ROWS) & (F.col("n_shingles") <= NODE_SHINGLES) | (F.col("n_rows") == 2)
         lists.append(work.put(_listed(rows.filter(small))))
@@ -276,8 +279,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if large.isEmpty():
             break
         if level == DEPTH:
-            blocks = F.greatest(F.ceil(F.col("n_rows") / NODE_ROWS), F.ceil(F.col("n_shingles") / NODE_SHINGLES))
-            lists.append(work.put(_listed(large.select("rep", F.xxhash64("node", F.pmod(F.xxhash64("node", "rep"), blocks)).alias("node")))))
+            lists.append(work.put(_listed(large.select("rep", F.xxhash64("node", F.pmod(F.xxhash64("node", "rep"), _blocks(F.col("n_rows"), F.col("n_shingles"), 1))).alias("node")))))
+            crowded = large
             break
         deeper = large.select("rep", "n", "node").join(reps.select("rep", "sign"), "rep").select("rep", "n", F.explode(_children(threshold)).alias("node"))
         rows = work.put(_met(deeper.distinct()))
@@ -286,10 +289,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         nodes = nodes.union(more)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     together = lambda nodes, facts: nodes.distinct().select(F.xxhash64("reps").alias("node"), F.explode("reps").alias("rep")).join(facts, "rep").repartition(n, "node").sortWithinPartitions("node")
-    screened = work.put(together(nodes, reps.select("rep", F.col("n_shingles").alias("n"), "bits")).mapInArrow(_screen(percent), "reps array<long>").distinct())
-    candidates = screened.select(F.explode("reps").alias("doc_id")).distinct()
-    full = texts.filter("doc_id is not null").join(candidates, "doc_id", "left_semi").mapInArrow(_full("text", k), "rep long, grams binary").filter("grams is not null")
-    edges = together(screened, full).mapInArrow(_compare(percent), "u long, v long")
+
+    def compared(nodes: DataFrame) -> DataFrame:
+        screened = work.put(together(nodes, reps.select("rep", F.col("n_shingles").alias("n"), "bits")).mapInArrow(_screen(percent), "reps array<long>").distinct())
+        candidates = screened.select(F.explode("reps").alias("doc_id")).distinct()
+        full = texts.filter("doc_id is not null").join(candidates, "doc_id", "left_semi").mapInArrow(_full("text", k), "rep long, grams binary").filter("grams is not null")
+        return together(screened, full).mapInArrow(_compare(percent), "u long, v long")
+
+    edges = compared(nodes)
+    if crowded is not None:
+        edges = work.put(edges)
+        across = work.put(_across(crowded, components(edges, work), n))
+        if not across.isEmpty():
+            edges = edges.union(compared(across))
     linked_ = components(edges.union(copies), work).withColumnRenamed("vertex", "doc_id")
     return (
         sketch.select("doc_id", "n_shingles")
@@ -308,3 +320,26 @@ def _met(rows: DataFrame) -> DataFrame:
 def _listed(rows: DataFrame) -> DataFrame:
     """The distinct lists of representatives of nodes of bounded size."""
     return rows.groupBy("node").agg(F.sort_array(F.collect_set("rep")).alias("reps")).select("reps").distinct()
+
+
+def _blocks(rows: Column, shingles: Column, parts: int) -> Column:
+    """Blocks to deal so many rows and shingles into, so that `parts` blocks together are of bounded size."""
+    return F.greatest(F.ceil(rows * parts / NODE_ROWS), F.ceil(shingles * parts / NODE_SHINGLES))
+
+
+def _across(crowded: DataFrame, found: DataFrame, n: int) -> DataFrame:
+    """Lists in which every two of a crowded node's representatives meet that `found` has in different components."""
+    of = found.select(F.col("vertex").alias("rep"), "component")
+    rows = crowded.select("node", "rep", "n").join(of, "rep", "left").select("node", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    parts = rows.groupBy("node", "component").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+    sizes = parts.groupBy("node").agg(F.count("*").alias("parts"), F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles"), F.max(F.struct("rows", "component", "shingles")).alias("main")).filter("parts > 1")
+    dealt = sizes.select(
+        "node", "main.component", _blocks(F.col("main.rows"), F.col("main.shingles"), 2).alias("alike"),
+        _blocks(F.col("rows") - F.col("main.rows"), F.col("shingles") - F.col("main.shingles"), 2).alias("others"),
+    ).withColumnRenamed("component", "main")
+    met = rows.join(dealt, "node").repartition(n, "rep")
+    hashed, alike = F.xxhash64("node", "rep"), F.col("component") == F.col("main")
+    block = F.when(alike, F.col("others") + F.pmod(hashed, F.col("alike"))).otherwise(F.pmod(hashed, F.col("others")))
+    last = F.when(alike, F.col("others")).otherwise(F.col("others") + F.col("alike")) - 1
+    pairs = met.select("node", "rep", block.alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("b")).filter("a <> b")
+    return _listed(pairs.select("rep", F.xxhash64("node", F.least("a", "b"), F.greatest("a", "b")).alias("node"))).filter("size(reps) > 1")

@@ -66,6 +66,18 @@ def test_near_duplicates_in_branched_nodes(frame, writer, monkeypatch):
     assert found == {i: v[1] for i, v in brute.near_duplicates(rows, 4, 80).items()}
 
 
+def test_near_duplicates_in_a_template_group(frame, writer, monkeypatch):
+    """Documents that share a template stay below the threshold but for a few pairs, and their nodes don't separate."""
+    monkeypatch.setattr(near_dedup, "NODE_ROWS", 6)
+    monkeypatch.setattr(near_dedup, "DEPTH", 3)
+    rows, template = [], writer.words(150)
+    for i in range(50):
+        own = writer.words(9)
+        rows += [(2 * i + j, " ".join(template + own + writer.words(16))) for j in range(2)]
+    found = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(frame(rows), k=4).collect()}
+    assert found == {i: i - i % 2 for i in range(100)} == {i: v[1] for i, v in brute.near_duplicates(rows, 4, 80).items()}
+
+
 def test_near_duplicates_odd_rows(frame, spark):
     rows = [(7, "a b c d e f"), (7, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (9, None), (9, "q r s t u v"), (2, "q r s t u v")]
     df = frame(rows).withColumn("kept", F.lit("x")).withColumn("component_id", F.lit(1))
