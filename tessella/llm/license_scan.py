@@ -1,8 +1,11 @@
 """License recognition by sentence rules. DataFrame functions only.
 
-A text is cut into sentences (after . ! ? : ; before white space, and at line
-ends), each is normalised to lower-case ASCII letters and digits, and known
-licence sentences are mapped to identifiers. The identifiers, in text order,
+A text is normalised to lower-case ASCII letters and digits and cut into
+sentences: after . ! ? : ; before white space, and at lines without letters and
+digits. Any other line end, with the signs of a comment around it, may be white
+space or the end of a sentence: a known licence sentence is found wrapped over
+lines, and on lines of its own. Known sentences are mapped to identifiers, where
+two overlap the one that starts first, then the longer. The identifiers, in text order,
 form a sequence; rules are tried in their order, and a rule whose identifier
 sequence occurs in it names its licence and uses those identifiers up.
 
@@ -11,7 +14,8 @@ without any of KEYS (each known sentence holds one) is not cut at all.
 
 Defined cases: null or empty text has no sentence and no licence; repeated rows
 get equal results; an empty table gives an empty result; other columns are not
-looked at.
+looked at. The SQL cuts at every line end and only knows sentences on one
+line; on texts without wrapped sentences the two are equal.
 """
 
 from __future__ import annotations
@@ -77,6 +81,8 @@ RULES: list[tuple[str, list[str]]] = [
 #: Words of which every known sentence has one.
 KEYS = ("licen", "permission", "permitted", "redistribut", "warrant", "public domain", "copyright")
 _CUT, _FOLD = r"([.!?:;])[ \t]+", "[^a-z0-9]+"
+#: Marks in a normalised text: the end of a sentence; a line end is "\n".
+_END = "\x01"
 
 
 def normal(sentence: str) -> str:
@@ -95,15 +101,24 @@ def _table(sentences: dict[str, list[str]]) -> dict[str, str]:
     return found
 
 
+def _marked(text: Column) -> Column:
+    """The normalised text, words parted by one space or mark, between two marks."""
+    text = F.regexp_replace(F.lower(text), r"\n[^a-z0-9\n]+", "\n")
+    text = F.regexp_replace(text, r"[.!?:;](?:[ \t]+|[ \t\r]*\n)", _END)
+    text = F.regexp_replace(text, rf"[^a-z0-9\n{_END}]+", " ")
+    text = F.regexp_replace(text, rf"{_END}[ \n{_END}]*", _END)
+    text = F.regexp_replace(text, r"\n ?\n[ \n]*", _END)
+    return F.concat(F.lit(_END), F.trim(F.regexp_replace(text, rf" ?([\n{_END}]) ?", "$1")), F.lit(_END))
+
+
 def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, list[str]] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
     """(doc_id, n_sentences, identifiers, licenses): recognised sentences, their identifiers in text order and the licences in rule order, joined by commas."""
     known = _table(sentences)
-    keyed = F.coalesce(F.col(text_col).rlike("(?i)" + "|".join(KEYS)), F.lit(False))
-    parts = F.split(F.regexp_replace(F.col(text_col), _CUT, "$1\n"), "\n")
-    folded = F.transform(parts, lambda s: F.trim(F.regexp_replace(F.lower(s), _FOLD, " ")))
-    hits = F.filter(folded, lambda s: s.isin(*known))
+    keyed = F.coalesce(F.col(text_col).rlike("(?i)" + "|".join(KEYS).replace(" ", "[^a-z0-9]+")), F.lit(False))
+    spots = "|".join(sorted(known, key=len, reverse=True)).replace(" ", r"[ \n]")
+    hits = F.regexp_extract_all(_marked(F.col(text_col)), F.lit(rf"(?<=[\n{_END}])(?:{spots})(?=[\n{_END}])"), F.lit(0))
     pairs = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    ids = F.transform(F.when(keyed, hits).otherwise(F.array().cast("array<string>")), lambda s: F.element_at(pairs, s))
+    ids = F.transform(F.when(keyed, hits).otherwise(F.array().cast("array<string>")), lambda s: F.element_at(pairs, F.translate(s, "\n", " ")))
     state = F.struct(F.concat(F.lit("|"), F.array_join("ids", "|"), F.lit("|")).alias("left"), F.lit("").alias("found"))
 
     def step(acc: Column, rule: Column) -> Column:

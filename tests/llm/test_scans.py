@@ -22,6 +22,29 @@ def test_licenses(frame):
     assert license_scan.licenses(frame([])).count() == 0
 
 
+def test_licenses_of_wrapped_texts(frame):
+    """Sentences that are wrapped over lines, plain and in comments; a blank line or the end of a sentence parts."""
+    import textwrap
+
+    s = license_scan.SENTENCES
+    wrapped = lambda keys, width=72: "\n\n".join("\n".join(textwrap.wrap(s[k][0], width)) for k in keys)
+    comment = lambda text, sign: "\n".join((sign + " " + line).rstrip() for line in text.split("\n"))
+    mit = "MIT License\n\nCopyright (c) 2020 X\n\n" + wrapped(["mit-grant", "mit-notice", "mit-warranty"])
+    bsd = ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]
+    listed = "\n".join(textwrap.fill(str(i) + ". " + s[k][0], 60, subsequent_indent="   ") for i, k in enumerate(bsd[1:], 1))
+    gpl = wrapped(["gpl-free", "gpl-warranty", "gpl-copy"])
+    apache = "\n".join(textwrap.wrap(s["apache-short"][2], 79)) + "\n" + "\n".join(s[k][0] for k in ("apache-compliance", "apache-copy")) + "\n\n    http://example.org/2.0\n\n" + wrapped(["apache-basis", "apache-see"], 50).replace("\n\n", "\n")
+    cases = [
+        (mit, "MIT", 4), (comment(mit, "#"), "MIT", 4), (mit.replace("\n", "\r\n"), "MIT", 4), (wrapped(["mit-grant", "mit-notice"], 40), "MIT", 2),
+        (comment(wrapped(bsd), " *"), "BSD-3-Clause", 4), (wrapped(bsd[:1], 30) + "\n" + listed, "BSD-3-Clause", 4), (comment(wrapped(bsd[:3]), "//"), "BSD-2-Clause", 3),
+        ("/*\n" + comment(wrapped(["isc-grant"]), " *") + "\n */", "ISC", 1), (gpl, "GPL-3.0-or-later", 3), (comment(gpl, ";;"), "GPL-3.0-or-later", 3),
+        (comment(apache, "#"), "Apache-2.0", 5), ("This work is in the public\ndomain.", "CC0-1.0", 1), ("MIT License\nThis project is licensed under the\nMIT License.", "MIT", 2),
+        ("Released under\n\nthe MIT License.", "", 0), ("Released under.\nthe MIT License.", "", 0), ("xReleased under the\nMIT Licensed.", "", 0),
+    ]
+    got = {r["doc_id"]: (r["licenses"], r["n_sentences"]) for r in license_scan.licenses(frame([(i, c[0]) for i, c in enumerate(cases)])).collect()}
+    assert got == {i: c[1:] for i, c in enumerate(cases)}
+
+
 ITEMS = "item_id long, text string"
 
 
