@@ -30,10 +30,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies: shingles of five words, similarity 0.8; rows without an id stay."""
-    rows = docs.select(*_columns(docs))
-    kept = near_dedup.near_duplicates(rows, k=5, percent=80).filter("kept and doc_id is not null").select("doc_id").distinct()
-    return rows.filter("doc_id is not null").join(kept, "doc_id", "left_semi").select(*rows.columns).union(rows.filter("doc_id is null"))
+    """Keep one row of each group of near copies: shingles of five words, similarity 0.8.
+
+    Every row stands for itself, also if it repeats an id or has none; that of
+    the least id stays, and one without id only if no row of the group has one.
+    """
+    rows, work = docs.select(*_columns(docs)), Workspace(spark)
+    named = work.put(rows.withColumns({"__row": F.monotonically_increasing_id(), "__hash": F.xxhash64(*rows.columns)}))  # written, so that a row keeps its number
+    found = near_dedup.near_duplicates(named, "__row", k=5, percent=80).select(F.col("doc_id").alias("__row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__hash", "__row"))["__row"]
+    kept = named.select("doc_id", "__hash", "__row").join(found, "__row").groupBy("component_id").agg(first.alias("__row"))
+    return named.join(kept, "__row", "left_semi").select(*rows.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

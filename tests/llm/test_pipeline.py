@@ -4,6 +4,19 @@ import corpus_pipeline
 from tests.llm import brute
 
 
+def test_one_row_of_each_group_stays(spark, frame, writer):
+    """Repeated rows, rows without id and rows that share an id: one of each group passes near-dedup and substring_dedup."""
+    a, b, c, d, e, f, g = (" ".join(writer.words(50)) for _ in range(7))
+    rows = [(1, a), (1, a), (1, a), (2, b), (None, b), (None, c), (None, c), (3, d), (4, d + " end"), (4, e), (None, f), (5, g), (5, g + " end"), (5, None)]
+    docs = frame(rows).repartition(3)
+    near = sorted((tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, "").select("doc_id", "text").collect()), key=repr)
+    assert [r for r in near if not (r[1] or "").startswith(g)] == sorted([(1, a), (2, b), (None, c), (3, d), (4, e), (None, f), (5, None)], key=repr)
+    assert len(near) == 8
+    left = corpus_pipeline.repeats(spark, corpus_pipeline.near_duplicates(spark, docs, ""), "").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in left if r["doc_id"] is not None) == sorted((i, t or "") for i, t in near if i is not None)
+    assert {r["text"] for r in left if r["doc_id"] is None} == {c, f}
+
+
 def test_pipeline(spark, frame, tmp_path, writer):
     """Each stage's decision is seen in what the next one gets."""
     english = lambda n: " ".join("the cat and dog " + x for x in writer.words(n))
