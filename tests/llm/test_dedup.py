@@ -78,6 +78,18 @@ def test_near_duplicates_in_a_template_group(frame, writer, monkeypatch):
     assert found == {i: i - i % 2 for i in range(100)} == {i: v[1] for i, v in brute.near_duplicates(rows, 4, 80).items()}
 
 
+def test_sketches_rule_out_only_what_is_far():
+    """A pair at the threshold agrees in 38 of 64 places or fewer once in 8,400 times, in 32 or fewer once in 13 million."""
+    import pyarrow as pa
+
+    base = np.arange(64, dtype=np.uint8)
+    for alike, want in ((38, [[1, 2]]), (33, [[1, 2]]), (20, [])):
+        other = base.copy()
+        other[alike:] += 100
+        batch = pa.RecordBatch.from_arrays([pa.array([5, 5]), pa.array([1, 2]), pa.array([99, 99]), pa.array([base.tobytes(), other.tobytes()])], names=["node", "rep", "n", "bits"])
+        assert [r for out in near_dedup._screen(80)(iter([batch])) for r in out.column("reps").to_pylist()] == want
+
+
 def test_near_duplicates_odd_rows(frame, spark):
     rows = [(7, "a b c d e f"), (7, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (9, None), (9, "q r s t u v"), (2, "q r s t u v")]
     df = frame(rows).withColumn("kept", F.lit("x")).withColumn("component_id", F.lit(1))
