@@ -6,7 +6,8 @@ their class, id and role, and from the text itself; a two-label chain (main, not
 is trained by stochastic gradient on labelled pages and decoded by Viterbi. The
 blocks labelled main, in page order, make the text.
 
-Scripts, styles, comments, the head and markup never reach a block. Character
+Scripts, styles, comments, the head and markup never reach a block; a head that
+is not closed ends at the first tag or text that can't stand in it. Character
 references are decoded, white space in a block is one space, blocks are joined
 by an empty line; nothing else is dropped, and no page is cut short.
 
@@ -35,11 +36,12 @@ TRAINING_PAGES, EPOCHS = 900, 8
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = "script|style|xmp|iframe|noembed|noframes|noscript|template|svg|canvas|object|textarea|title"
+_HEAD = frozenset("html head base basefont bgsound link meta".split())
 _P_CLOSERS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section summary table ul".split())
 _SELF_CLOSERS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPES = frozenset("table ul ol dl td th div section article main aside body".split())
 _TOKEN = re.compile(
-    rf"<!--(?:.*?-->|.*\Z)|<({_RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</\1\s*>|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
+    rf"<!--(?:.*?-->|.*\Z)|<svg(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>|<({_RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</\1\s*>|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -83,8 +85,16 @@ def blocks(page: str | None) -> list[Block]:
             parts.clear()
         state["linked"] = 0
 
+    def in_head() -> bool:
+        return bool(stack) and (stack[0][0] == "html" and any(t == "head" for t, _ in stack[:3]) or stack[0][0] == "head")
+
+    def leave_head() -> None:
+        stack[:] = [x for x in stack if x[0] != "head"]
+
     def keep(text: str, at: int) -> None:
-        if text and not (stack and stack[0][0] == "html" and any(t == "head" for t, _ in stack[:3])) and not (stack and stack[0][0] == "head"):
+        if in_head() and text.strip():
+            leave_head()
+        if text and not in_head():
             if not parts:
                 state["at"] = at
             parts.append(text)
@@ -111,6 +121,8 @@ def blocks(page: str | None) -> list[Block]:
         if not name:
             continue
         name = name.lower()
+        if not end and name not in _HEAD and in_head():
+            leave_head()
         if name == "br":
             keep(" ", m.start())
         elif end:
@@ -133,7 +145,7 @@ def blocks(page: str | None) -> list[Block]:
         else:
             flush()
             if name == "body":
-                stack[:] = [x for x in stack if x[0] != "head"]
+                leave_head()
             if name in _P_CLOSERS:
                 close(("p",), _SCOPES)
             if name in _SELF_CLOSERS:

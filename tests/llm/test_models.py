@@ -202,3 +202,13 @@ def test_word_cache_is_bounded(monkeypatch, tokenizer):
         assert out.column("length").to_pylist() == [n]
         assert len(packing._vocabulary(tokenizer).hashes) <= 7
     packing._vocabulary.cache_clear()
+
+
+def test_blocks_after_an_open_head_and_a_self_closed_svg():
+    """Text is kept where the head's end is left out, and after an svg without content."""
+    texts = lambda page: [b.text for b in html_extraction.blocks(page)]
+    assert texts("<html><head><meta charset=utf-8><title>T</title><p>One <b>two</b></p><p>three") == ["One two", "three"]
+    assert texts("<head><title>T</title> One <p>two") == ["One", "two"]
+    assert texts("<html><head><title>T</title> </head> <body><p>One") == ["One"]
+    assert texts("<p>One</p><svg viewBox='0 0 1 1' /><p>two</p>") == ["One", "two"]
+    assert texts('<p>One</p><svg/><p>two <svg class="/>"><text>no</text></svg>three</p>') == ["One", "two three"]
