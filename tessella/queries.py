@@ -151,6 +151,7 @@ def q16_count_if(spark, d):
     SELECT CAST(user_id % 5 AS VARCHAR) AS key, count(*) AS users, count(*) FILTER (WHERE n > 1 AND hi - lo >= INTERVAL 1 DAY) AS d1, count(*) FILTER (WHERE n > 1 AND hi - lo >= INTERVAL 7 DAY) AS d7 FROM u GROUP BY 1"""
 )
 def q17_retention(spark, d):
+    """Retention over a time prefix of the table, as the SQL has it: signups before 2024-01-09; later ones are not looked at."""
     logins = table(spark, d, "events").filter("event_type = 'signup' and ts < timestamp '2024-01-09'").groupBy("user_id").agg(F.collect_list("ts").alias("logins"))
     users = Dataset.table(logins.withColumn("cohort", F.col("user_id") % 5))
     found = users.values("logins")
@@ -219,6 +220,7 @@ def q23_kpis(spark, d):
     FROM c JOIN s USING (user_id) GROUP BY 1"""
 )
 def q24_retention_by_class(spark, d):
+    """Retention over a time prefix of the table, as the SQL has it: events before 2024-01-09 and classes met before 2024-01-03; later ones are not looked at."""
     from tessella.plans.reports import DAY_MS, _retention
 
     events = table(spark, d, "events")
