@@ -35,7 +35,7 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select(F.nullif("doc_id", F.lit(-1)).alias("doc_id"), "item_id", "start", "n_words", "common", "total")
+    return found.select("doc_id", "item_id", "start", "n_words", "common", "total")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,18 +57,47 @@ def test_decontamination(frame, writer):
         docs.append((100 + i, " ".join([*writer.words(i * 3), *words, *writer.words(20)])))
         docs.append((200 + i, " ".join([*writer.words(7), *writer.edited(words, 0.03), *writer.words(9)]).upper()))
         docs.append((300 + i, " ".join([*writer.words(5), *words[: len(words) // 2]])))
+        half = len(words) // 2
+        docs.append((400 + i, " ".join([*writer.words(6), *words[half:], *words[:half], *writer.words(i)])))
+        docs.append((500 + i, " ".join([*writer.words(4), *words[half:], writer.words(1)[0], *words[:half]])))
+        docs.append((600 + i, " ".join(words[2:])))
+    docs += [(-1, items[5][1]), (None, items[5][1]), (700, " ".join([items[0][1]] * 40))]
     docs += [(900, None), (901, ""), (902, "It is two words, here"), (903, items[3][1] + " " + items[3][1])]
     found = decontamination.contaminated(frame(docs), frame(items, ITEMS)).collect()
     got = {(r["doc_id"], r["item_id"]): (r["common"], r["total"]) for r in found}
     assert got == brute.contaminated(docs, items, 5, 80) and len(found) == len(got)
-    assert {(100 + i, i) for i in range(12)} <= set(got) and (902, 50) in got and not any(300 <= d < 400 for d, _ in got)
+    assert {(100 + i, i) for i in range(12)} <= set(got) and (902, 50) in got and not any(300 <= (d or 0) < 400 for d, _ in got)
+    assert len({d for d, _ in got if 400 <= (d or 0) < 500}) > 1 and {(-1, 5), (None, 5)} <= set(got)
+
+
+def test_decontamination_sees_swapped_halves(frame, writer):
+    """Most shingles are there, none of them in the item's place."""
+    words = writer.words(80)
+    swapped = " ".join(words[40:] + words[:40])
+    far = " ".join(words[60:] + words[40:60] + words[20:40] + words[:20])  # 64 of 76 shingles: below
+    got = decontamination.contaminated(frame([(1, swapped), (2, far), (3, "x y z " + swapped + " end")]), frame([(7, " ".join(words))], ITEMS)).collect()
+    assert {(r["doc_id"], r["start"], r["common"], r["total"]) for r in got} == {(1, 0, 72, 80), (3, 3, 72, 80)}
+
+
+def test_decontamination_of_long_texts(frame, writer):
+    item = writer.words(40)
+    text = " ".join([*writer.words(60_000), *item, *writer.words(5), *item])
+    got = decontamination.contaminated(frame([(1, text)]), frame([(7, " ".join(item))], ITEMS)).collect()
+    assert [(r["start"], r["common"], r["total"]) for r in got] == [(60_000, 36, 36)]
+
+
+def test_packed_counts_give_the_same_fingerprint(spark):
+    rng = random.Random(5)
+    rows = [([rng.getrandbits(64) - (1 << 63) for _ in range(rng.randint(1, 90))],) for _ in range(60)] + [([3, 3, -1, -1],), ([],)]
+    df = spark.createDataFrame(rows, "g array<long>")
+    assert df.filter(decontamination.packed_simhash(F.col("g")) != decontamination.simhash(F.col("g"))).count() == 0
 
 
 def test_decontamination_odd_rows(frame):
     text = "a b c d e f g h"
     df = frame([(1, text), (1, text), (None, text), (2, "z")]).withColumn("item_id", F.lit(3)).withColumn("start", F.lit(3))
     got = decontamination.contaminated(df, frame([(7, text.upper())], ITEMS)).collect()
-    assert sorted((r["doc_id"], r["item_id"], r["start"], r["common"], r["total"]) for r in got) == [(-1, 7, 0, 4, 4), (1, 7, 0, 4, 4)]
+    assert sorted(((r["doc_id"], r["item_id"], r["start"], r["common"], r["total"]) for r in got), key=repr) == [(1, 7, 0, 4, 4), (None, 7, 0, 4, 4)]
     assert decontamination.contaminated(df, frame([], ITEMS)).count() == 0
     assert decontamination.contaminated(frame([]), frame([(7, text)], ITEMS)).count() == 0
 
@@ -89,9 +118,10 @@ def test_blocks_hold_all_pairs_in_radius(spark):
             b ^= 1 << bit
         sign = lambda x: x - (1 << 64) if x >> 63 else x
         rows.append((sign(a), sign(b)))
-    df = spark.createDataFrame(rows, "a long, b long")
-    shared = F.arrays_overlap(decontamination.blocks(F.col("a")), decontamination.blocks(F.col("b")))
-    assert df.filter(~shared).count() == 0
+    table = decontamination.listed(spark.createDataFrame([(i, a) for i, (a, _) in enumerate(rows)], "i int, item_print long"))
+    other = spark.createDataFrame([(i, b) for i, (_, b) in enumerate(rows)], "i int, b long").select("i", F.explode(decontamination.blocks(F.col("b"))).alias("x")).select("i", "x.*")
+    assert table.join(other, ["i", "number", "value"]).select("i").distinct().count() == len(rows)
+    assert sum(own + 1 for _, _, own in decontamination.allotted(decontamination.RADIUS)) == decontamination.RADIUS + 1
 
 
 def test_fingerprints(frame, corpus):
