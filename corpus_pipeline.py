@@ -55,7 +55,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Drop documents that hold a benchmark item."""
     rows = docs.select(*_columns(docs))
     found = decontamination.contaminated(rows, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    key = (F.coalesce("doc_id", F.lit(-1)) == F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__hash"))
+    key = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__hash"))
     return rows.join(found, key, "left_anti").select(*rows.columns)
 
 
