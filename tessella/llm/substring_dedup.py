@@ -9,21 +9,27 @@ occurrences give the maximal spans to remove.
 The corpus is its own reference, so a shard can't be broadcast to all documents
 (every text would pass through the whole corpus, the square of the input).
 Shards are cut by content instead: each window has an anchor, its run of
-`ANCHOR` words with the least hash. Equal windows have the same anchor, so the
+ANCHORS[0] words with the least hash. Equal windows have the same anchor, so the
 windows of one anchor form a shard which is shipped to the documents' segments
-around that anchor. Three steps keep this small and exact:
+around that anchor. All of it is decided on words, hashes only sort:
 
-1. Anchors are counted; one that occurs once can't repeat. An anchor whose
-   segments are all equal repeats as a whole.
-2. The other anchors' distinct segments, with their counts, build the automaton
-   of their shard, at most SHARD_ROWS segments, and are streamed through it.
-3. An anchor with more occurrences than that is not gathered: its windows are
-   counted by a 128-bit hash, a combinable aggregate.
+1. Anchors are counted; one that occurs once can't repeat.
+2. The segments around the others are folded by their words, with their counts.
+   The distinct ones of an anchor build the automaton of its shard, and are
+   streamed through it.
+3. An anchor with more than SHARD_ROWS distinct segments is not gathered: its
+   segments are taken as texts and cut by longer anchors, at last as long as
+   the window, where each shard holds one segment. This is the same method on
+   finer shards and exact at each length.
+
+A key that holds more than a 10,000th of a table's rows is never joined by
+shuffle: there are fewer than 10,000 such keys, which are broadcast.
 
 Defined cases: null text is no words; repeated rows are further occurrences of
-their windows; rows are told apart by id and text hash (rows equal in both get
-equal results); texts shorter than the window lose nothing; an empty table gives
-an empty result. Other columns are not looked at.
+their windows; rows are told apart by id and text hash (equal texts get equal
+results, so a null id may share a key with any other); texts shorter than the
+window lose nothing; texts of any length are read whole; an empty table gives an
+empty result. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -33,14 +39,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tessella.llm import textkit
-from tessella.llm.common import Workspace
+from tessella.llm.common import HOT_PARTS, Workspace, split_join
 from tessella.llm.textkit import U64
 
-WIDTH, ANCHOR = 35, 8
-SHARD_ROWS = 256
+WIDTH = 35
+#: Words of an anchor: first, and where a shard is too large; then those of the whole window.
+ANCHORS = (8, 20)
+#: Distinct segments of a shard.
+SHARD_ROWS = 1000
 _KEY = ("doc_id", "text_hash")
 
 
@@ -117,10 +127,10 @@ class SuffixAutomaton:
 
 
 def _anchored(words: textkit.Words, width: int, k: int) -> tuple[np.ndarray, ...]:
-    """Anchor hash, segment hash, row, first and last window start of each run of windows with one anchor."""
+    """Anchor hash, row, first and last window start of each run of windows with one anchor."""
     starts, rows = words.spans(width)
     if not len(starts):
-        return (np.zeros(0, np.int64),) * 5
+        return (np.zeros(0, np.int64),) * 4
     n = len(words.hash)
     grams = textkit.rolled(words.hash, np.arange(n - k + 1), k)
     value, at = grams.copy(), np.arange(len(grams))
@@ -135,83 +145,95 @@ def _anchored(words: textkit.Words, width: int, k: int) -> tuple[np.ndarray, ...
     new[1:] = (anchor[1:] != anchor[:-1]) | (rows[1:] != rows[:-1])
     head = np.flatnonzero(new)
     tail = np.append(head[1:], len(starts)) - 1
-    a, b = starts[head], starts[tail]
-    segment = textkit.mix(textkit.spanned(words.hash, a, b + width) ^ (anchor[head] - a).astype(U64) * U64(0xA24BAED4963EE407))
-    return grams[anchor[head]].view(np.int64), segment.view(np.int64), rows[head], a, b
+    return grams[anchor[head]].view(np.int64), rows[head], starts[head], starts[tail]
 
 
 def _occurrences(width: int, k: int):
-    """Rows (anchor, segment, key, a, b) with window starts counted from the document's first word."""
+    """Texts to rows (anchor, key, n, a, b) with window starts counted from the text's first word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, data, offs in textkit.pieces(batch.column("text")):
                 words = textkit.Words(data, offs)
-                anchor, segment, rows, a, b = _anchored(words, width, k)
-                base = words.first[rows]
-                keys = [batch.column(x).take(pa.array(rows + first)) for x in _KEY]
+                anchor, rows, a, b = _anchored(words, width, k)
+                base, at = words.first[rows], pa.array(rows + first)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor), pa.array(segment), *keys, pa.array((a - base).astype(np.int32)), pa.array((b - base).astype(np.int32))],
-                    names=["anchor", "segment", *_KEY, "a", "b"],
+                    [pa.array(anchor), *(batch.column(x).take(at) for x in (*_KEY, "n")), pa.array((a - base).astype(np.int32)), pa.array((b - base).astype(np.int32))],
+                    names=["anchor", *_KEY, "n", "a", "b"],
                 )
 
     return run
 
 
-def _mixed(width: int):
-    """From texts with their unsettled occurrences: segments of small shards, and window hashes of large ones."""
+def _spaced(words: textkit.Words, data: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """All words, each followed by one space, and where each begins; one more for the end."""
+    sizes = words.stop - words.start
+    begin = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes + 1, out=begin[1:])
+    out = np.full(begin[-1], 32, np.uint8)
+    letters = np.repeat(words.start, sizes) + textkit.ramp(sizes)
+    out[letters + np.repeat(begin[:-1] - words.start, sizes)] = data[letters]
+    return out.tobytes(), begin
+
+
+def _segments(width: int):
+    """Texts with their spots (anchor, a, b) to rows (anchor, digest, words, key, n, a); words are joined by one space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, data, offs in textkit.pieces(batch.column("text")):
                 words = textkit.Words(data, offs)
-                raw = data.tobytes()
+                text, begin = _spaced(words, data)
                 spots = batch.column("spots").slice(first, len(offs) - 1)
-                out = {x: [] for x in ("anchor", "segment", *_KEY, "a", "words", "w1", "w2")}
-                for i, spot in enumerate(spots.to_pylist()):
-                    key, base = [batch.column(x)[first + i].as_py() for x in _KEY], int(words.first[i])
-                    for s in spot:
-                        a, b = base + s["a"], base + s["b"]
-                        if s["large"]:
-                            at = np.arange(a, b + 1)
-                            hashes = [textkit.rolled(words.hash[a : b + width], at - a, width, salt).view(np.int64).tolist() for salt in (0, 77)]
-                            items = [(j + s["a"], None, h1, h2) for j, (h1, h2) in enumerate(zip(*hashes, strict=True))]
-                        else:
-                            text = b" ".join(raw[p:q] for p, q in zip(words.start[a : b + width].tolist(), words.stop[a : b + width].tolist(), strict=True))
-                            items = [(s["a"], text, None, None)]
-                        for x in items:
-                            for name, value in zip(out, (s["anchor"], s["segment"], *key, *x), strict=True):
-                                out[name].append(value)
-                kinds = {"a": pa.int32(), "words": pa.binary()}
-                yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(x, pa.int64())) for x, v in out.items()], names=list(out))
+                rows = np.repeat(np.arange(len(spots)), spots.value_lengths().to_numpy())
+                anchor, a, b = (x.to_numpy() for x in spots.flatten().flatten())
+                for at in range(0, len(rows), 20_000):
+                    part = slice(at, at + 20_000)
+                    base = words.first[rows[part]]
+                    p, q = begin[base + a[part]].tolist(), (begin[base + b[part] + width] - 1).tolist()
+                    segments = [text[x:y] for x, y in zip(p, q, strict=True)]
+                    own = pa.array(rows[part] + first)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(anchor[part]), pa.array([xxhash.xxh3_128_digest(x) for x in segments], pa.binary()), pa.array(segments, pa.binary()),
+                         *(batch.column(x).take(own) for x in (*_KEY, "n")), pa.array(a[part])],
+                        names=["anchor", "digest", "words", *_KEY, "n", "a"],
+                    )
 
     return run
 
 
+def matched(shard: list[tuple[bytes, bytes, int]], width: int) -> list[tuple[bytes, list[tuple[int, int]]]]:
+    """(digest, repeated spans) of a shard's distinct segments (digest, words, count)."""
+    if len({x[0] for x in shard}) < len(shard):
+        raise ValueError("two different passages have one 128-bit digest")
+    if len(shard) == 1 and shard[0][2] > 1:  # all windows of a segment that occurs twice repeat
+        return [(shard[0][0], [(0, shard[0][1].count(b" ") + 1)])]
+    automaton, texts = SuffixAutomaton(), [text.split(b" ") for _, text, _ in shard]
+    for text, (_, _, n) in zip(texts, shard, strict=True):
+        automaton.add(text, n)
+    automaton.close()
+    found = ((digest, automaton.repeated(text, width)) for text, (digest, _, _) in zip(texts, shard, strict=True))
+    return [x for x in found if x[1]]
+
+
 def _matched(width: int):
-    """Distinct segments (anchor, segment, words, n), sorted by anchor, to (anchor, segment, spans) by their shard's automaton."""
+    """Distinct segments (anchor, digest, words, n), sorted by anchor, to (anchor, digest, n_rows, spans) by their shard's automaton."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, shard, out = None, [], []
+        now, shard, rows, out = None, [], {}, []
 
         def close() -> None:
-            if not shard:
-                return
-            automaton = SuffixAutomaton()
-            for _, text, n in shard:
-                automaton.add(text, n)
-            automaton.close()
-            for segment, text, _ in shard:
-                if spans := automaton.repeated(text, width):
-                    out.append((now, segment, [{"a": s, "b": t} for s, t in spans]))
+            if shard:
+                out.extend((now, digest, rows[digest], [{"a": s, "b": t} for s, t in spans]) for digest, spans in matched(shard, width))
 
         for batch in batches:
-            columns = [batch.column(x).to_pylist() for x in ("anchor", "segment", "words", "n")]
-            for anchor, segment, text, n in zip(*columns, strict=True):
+            columns = [batch.column(x).to_pylist() for x in ("anchor", "digest", "words", "n", "n_rows")]
+            for anchor, digest, text, n, n_rows in zip(*columns, strict=True):
                 if anchor != now:
                     close()
-                    now, shard = anchor, []
-                shard.append((segment, text.split(b" "), n))
+                    now, shard, rows = anchor, [], {}
+                shard.append((digest, text, n))
+                rows[digest] = n_rows
             yield _spans(out)
             out.clear()
         close()
@@ -221,9 +243,9 @@ def _matched(width: int):
 
 
 def _spans(out: list) -> pa.RecordBatch:
-    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-    columns = zip(*out, strict=True) if out else ([], [], [])
-    return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, (pa.int64(), pa.int64(), kind), strict=True)], names=["anchor", "segment", "spans"])
+    kinds = {"anchor": pa.int64(), "digest": pa.binary(), "n_rows": pa.int64(), "spans": pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))}
+    columns = zip(*out, strict=True) if out else ([], [], [], [])
+    return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -233,31 +255,45 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, work: Workspace, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """(doc_id, text_hash, spans) of documents with repeated windows; spans are word ranges [a, b), which may overlap."""
-    texts = keyed(docs.select(F.col(id_col), F.col(text_col).alias("text")), id_col, "text").select(*_KEY, "text")
-    k = min(ANCHOR, width)
-    found = work.put(texts.mapInArrow(_occurrences(width, k), "anchor long, segment long, doc_id long, text_hash long, a int, b int"))
-    anchors = found.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("segment") == F.max("segment")).alias("whole")).filter("n > 1")
-    met = work.put(found.join(anchors, "anchor"))
+    texts = keyed(docs.select(F.col(id_col), F.col(text_col).alias("text")), id_col, "text").select(*_KEY, "text", F.lit(1).cast("long").alias("n"))
+    return _repeated(texts, work, width, [k for k in ANCHORS if k < width] + [width])
+
+
+def _repeated(texts: DataFrame, work: Workspace, width: int, lengths: list[int]) -> DataFrame:
+    """As `repeated_spans`, of texts that occur n times each, with anchors of lengths[0] words; the others are for crowded shards."""
+    found = work.put(texts.mapInArrow(_occurrences(width, lengths[0]), "anchor long, doc_id long, text_hash long, n long, a int, b int"))
+    anchors = work.put(found.groupBy("anchor").agg(F.count("*").alias("n_rows"), F.sum("n").alias("n")).filter("n > 1").drop("n"))
+    met = split_join(found.drop("n"), anchors, ["anchor"], found.count())
+    spots = met.groupBy(*_KEY).agg(F.collect_set(F.struct("anchor", "a", "b")).alias("spots"))
+    segments = work.put(texts.join(spots, list(_KEY)).mapInArrow(_segments(width), "anchor long, digest binary, words binary, doc_id long, text_hash long, n long, a int"))
     work.drop(found)
-    whole = met.filter("whole").select(*_KEY, "a", (F.col("b") + width).alias("b"))
-    spots = met.filter("not whole").groupBy(*_KEY).agg(
-        F.collect_set(F.struct("anchor", "segment", "a", "b", (F.col("n") > SHARD_ROWS).alias("large"))).alias("spots")
-    )
-    unsettled = work.put(
-        texts.join(spots, list(_KEY)).mapInArrow(_mixed(width), "anchor long, segment long, doc_id long, text_hash long, a int, words binary, w1 long, w2 long")
-    )
-    small, large = unsettled.filter("words is not null"), unsettled.filter("words is null")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = small.groupBy("anchor", "segment").agg(F.first("words").alias("words"), F.count("*").cast("int").alias("n"))
-    spans = distinct.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(
-        _matched(width), "anchor long, segment long, spans array<struct<a:int,b:int>>"
-    )
-    streamed = small.select("anchor", "segment", *_KEY, "a").join(spans, ["anchor", "segment"]).select(
-        *_KEY, "a", F.explode("spans").alias("s")
-    ).select(*_KEY, (F.col("a") + F.col("s.a")).alias("a"), (F.col("a") + F.col("s.b")).alias("b"))
-    often = large.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2")
-    counted = large.join(often, ["w1", "w2"]).select(*_KEY, "a", (F.col("a") + width).alias("b"))
-    return whole.union(streamed).union(counted).groupBy(*_KEY).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    distinct = work.put(segments.groupBy("anchor", "digest", "words").agg(F.count("*").alias("n_rows"), F.sum("n").alias("n")))
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kinds = "anchor long, digest binary, n_rows long, spans array<struct<a:int,b:int>>"
+    crowded = None
+    if len(lengths) > 1:  # an anchor as long as the window has one segment
+        crowded = work.put(distinct.groupBy("anchor").agg(F.count("*").alias("n_rows")).filter(F.col("n_rows") > SHARD_ROWS))
+    if crowded is None or crowded.isEmpty():
+        spans = _gathered(distinct, n).mapInArrow(_matched(width), kinds)
+    else:
+        total = distinct.count()
+        held = distinct.withColumnRenamed("n_rows", "own_rows")
+        large = split_join(held, crowded, ["anchor"], total).drop("n_rows").withColumnRenamed("own_rows", "n_rows")
+        large = work.put(large.withColumns({"doc_id": F.monotonically_increasing_id(), "text_hash": F.lit(0).cast("long")}))
+        inner = _repeated(large.select(*_KEY, F.col("words").cast("string").alias("text"), "n"), work, width, lengths[1:])
+        finer = large.select(*_KEY, "anchor", "digest", "n_rows").join(inner, list(_KEY)).select("anchor", "digest", "n_rows", "spans")
+        hot = crowded.filter(F.col("n_rows") > max(1, total // HOT_PARTS)).select("anchor")
+        small = distinct.join(F.broadcast(hot), "anchor", "left_anti").join(crowded.select("anchor"), "anchor", "left_anti")
+        spans = _gathered(small, n).mapInArrow(_matched(width), kinds).unionByName(finer)
+    spans = work.put(spans)
+    back = split_join(segments.select("anchor", "digest", *_KEY, "a"), spans, ["anchor", "digest"], segments.count())
+    each = back.select(*_KEY, "a", F.explode("spans").alias("s")).select(*_KEY, F.struct((F.col("a") + F.col("s.a")).alias("a"), (F.col("a") + F.col("s.b")).alias("b")).alias("span"))
+    return each.groupBy(*_KEY).agg(F.collect_set("span").alias("spans"))
+
+
+def _gathered(distinct: DataFrame, n: int) -> DataFrame:
+    """Shards of at most SHARD_ROWS rows, each in one task."""
+    return distinct.repartition(n, "anchor").sortWithinPartitions("anchor")
 
 
 def _cut(keep_text: bool):
@@ -307,3 +343,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = rows.join(spans, key, "left").drop("__id", "__hash")
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "text") + ", n_words long, n_removed long, kept string"
     return joined.mapInArrow(_cut(keep_text), schema)
+
+
+def oracle_sql(width: int = WIDTH) -> str:
+    """The same for DuckDB, over documents: all windows, counted by their words."""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, [x for x in string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') if x <> ''] AS w FROM documents),
+windows AS (SELECT row, spot, array_to_string(list_slice(w, spot + 1, spot + {width}), ' ') AS g FROM (SELECT row, w, unnest(range(0, len(w) - {width - 1})) AS spot FROM d WHERE len(w) >= {width})),
+often AS (SELECT g FROM windows GROUP BY g HAVING count(*) > 1),
+gone AS (SELECT DISTINCT row, unnest(range(spot, spot + {width})) AS spot FROM windows JOIN often USING (g)),
+each AS (SELECT row, unnest(range(0, len(w))) AS spot, unnest(w) AS word FROM d),
+kept AS (SELECT row, count(*) AS n, string_agg(word, ' ' ORDER BY spot) AS text FROM each ANTI JOIN gone USING (row, spot) GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (row)"""

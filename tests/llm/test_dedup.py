@@ -104,7 +104,6 @@ def test_exhaustive_links():
     sets = [base, base[:90], base[5:], np.arange(10, dtype=np.uint64) + 10**7, base[:50]]
     assert near_dedup.linked(sets, 80) == [(0, 1), (0, 2)]
     assert near_dedup.linked(sets[:1], 80) == [] and near_dedup.linked([base, base[:79]], 80) == [] and near_dedup.linked([base, base[:80]], 80) == [(0, 1)]
-    assert np.array_equal(near_dedup.unpacked(base.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()), base)
 
 
 @pytest.mark.parametrize("width", [35, 5])
@@ -115,7 +114,7 @@ def test_substring_dedup(frame, corpus, width):
     assert sum(x[1] for x in want.values()) > 500
 
 
-@pytest.mark.parametrize("limit", [1, 2])
+@pytest.mark.parametrize("limit", [0, 1, 2])
 def test_substring_dedup_of_crowded_anchors(frame, corpus, monkeypatch, limit):
     monkeypatch.setattr(substring_dedup, "SHARD_ROWS", limit)
     found = substring_dedup.remove_repeats(frame(corpus), width=35).collect()
@@ -131,6 +130,28 @@ def test_substring_dedup_odd_rows(frame, writer):
     assert substring_dedup.remove_repeats(frame([])).count() == 0
 
 
+def test_passages_are_compared_by_words():
+    """A digest that two different passages share is refused, and equal segments that occur twice repeat as a whole."""
+    text = b" ".join(b"w%d" % i for i in range(40))
+    assert substring_dedup.matched([(b"d", text, 2)], 35) == [(b"d", [(0, 40)])] and substring_dedup.matched([(b"d", text, 1)], 35) == []
+    longer = text + b" x"
+    assert substring_dedup.matched([(b"d", text, 1), (b"e", longer, 1)], 35) == [(b"d", [(0, 40)]), (b"e", [(0, 40)])]
+    with pytest.raises(ValueError):
+        substring_dedup.matched([(b"d", text, 1), (b"d", longer, 1)], 35)
+
+
+def test_split_join(spark, monkeypatch):
+    from tessella.llm import common
+
+    left = spark.createDataFrame([(i % 7 if i < 90 else 100 + i, i) for i in range(120)], "k int, v int")
+    right = left.groupBy("k").agg(F.count("*").alias("n_rows")).filter("k <> 3")
+    for parts in (10, 10_000):
+        monkeypatch.setattr(common, "HOT_PARTS", parts)
+        for how in ("inner", "left"):
+            got = sorted(tuple(r) for r in common.split_join(left, right, ["k"], 120, how).select("k", "v", F.coalesce("n_rows", F.lit(-1))).collect())
+            assert got == sorted(tuple(r) for r in left.join(right, "k", how).select("k", "v", F.coalesce("n_rows", F.lit(-1))).collect())
+
+
 def test_automaton():
     rng = random.Random(4)
     for _ in range(60):
