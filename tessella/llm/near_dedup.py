@@ -46,7 +46,6 @@ TREES, COORDINATES, DEPTH = 9, 64, 8
 NODE_ROWS, NODE_SHINGLES = 2000, 1_000_000
 _SEEDS = textkit.mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15))
 _SIGNED = pa.int64()
-_KEPT_BYTES = 6
 #: Deviations below the threshold at which a sketch rules a pair out: at 0.8 with fewer than 33 of 64 places alike, one pair in 13 million at the threshold.
 _SLACK = 6.0
 
@@ -122,14 +121,14 @@ def _lists(rows: np.ndarray) -> pa.Array:
 
 
 def _full(text_at: str, k: int):
-    """Per document the set itself (the low 48 bits of each hash)."""
+    """Per document the set itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [None] * batch.num_rows
             for i, grams in _sets(batch, text_at, k):
                 if len(grams):
-                    sets[i] = np.unique(grams & U64(0xFFFFFFFFFFFF)).view(np.uint8).reshape(-1, 8)[:, :_KEPT_BYTES].tobytes()
+                    sets[i] = grams.tobytes()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["rep", "grams"])
 
     return run
@@ -194,12 +193,6 @@ def _screen(percent: int):
     return run
 
 
-def unpacked(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // _KEPT_BYTES, 8), np.uint8)
-    wide[:, :_KEPT_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, _KEPT_BYTES)
-    return wide.view(U64).ravel()
-
-
 def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Pairs (least of its class, member) for the classes that links of the given sets make; all pairs are compared."""
     n, sizes = len(sets), np.array([len(s) for s in sets])
@@ -234,7 +227,7 @@ def _compare(percent: int):
         out: list[tuple[int, int]] = []
         for reps, raw in _nodes(batches, ("rep", "grams")):
             order = np.argsort(np.array(reps), kind="stable")
-            out.extend((reps[order[x]], reps[order[y]]) for x, y in linked([unpacked(raw[i]) for i in order], percent))
+            out.extend((reps[order[x]], reps[order[y]]) for x, y in linked([np.frombuffer(raw[i], U64) for i in order], percent))
             if len(out) > 10_000:
                 yield _edges(out)
                 out = []
@@ -343,3 +336,21 @@ def _across(crowded: DataFrame, found: DataFrame, n: int) -> DataFrame:
     last = F.when(alike, F.col("others")).otherwise(F.col("others") + F.col("alike")) - 1
     pairs = met.select("node", "rep", block.alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("b")).filter("a <> b")
     return _listed(pairs.select("rep", F.xxhash64("node", F.least("a", "b"), F.greatest("a", "b")).alias("node"))).filter("size(reps) > 1")
+
+
+def oracle_sql(k: int, percent: int) -> str:
+    """The same for DuckDB, over documents, by comparing all documents that share a shingle."""
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS row, doc_id, [x for x in string_split_regex({lower}, '[\\x20\\x09-\\x0D]+') if x <> ''] AS w FROM documents),
+sets AS (SELECT row, doc_id, CASE WHEN len(w) >= {k} THEN list_distinct([array_to_string(list_slice(w, i + 1, i + {k}), ' ') for i in range(0, len(w) - {k - 1})])
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM d),
+each AS (SELECT row, doc_id, len(g) AS n, unnest(g) AS g FROM sets),
+links AS (
+  SELECT DISTINCT a AS a, b AS b FROM (
+    SELECT x.row, y.row, any_value(x.doc_id) AS a, any_value(y.doc_id) AS b, any_value(x.n) + any_value(y.n) AS sizes, count(*) AS met
+    FROM each x JOIN each y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY x.row, y.row) WHERE 100 * met >= {percent} * (sizes - met)),
+reach AS (SELECT a, a AS b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(doc_id = coalesce(component_id, doc_id), true) AS kept
+FROM sets LEFT JOIN least ON doc_id = a"""
