@@ -82,7 +82,8 @@ def contaminated(docs, items, k, percent):
 
 
 def canonical(text):
-    return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", text or "").lower()).strip()
+    folded = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text or "").casefold())
+    return re.sub(r"\s+", " ", folded).strip()
 
 
 def fingerprint(text):
@@ -114,10 +115,11 @@ def licenses(text, sentences, rules):
     table = {}
     for name, forms in sentences.items():
         for form in forms:
-            parts = [re.sub("[^a-z0-9]+", " ", p.lower()).strip() for p in re.split(r"(?<=[.!?:;])[ \t]+", form)]
+            form = form.lower().replace("license-identifier:", "license-identifier")
+            parts = [re.sub("[^a-z0-9]+", " ", p).strip() for p in re.split(r"(?<=[.!?:;])[ \t]+", form)]
             table[max(parts, key=len)] = name
     found = []
-    for line in (text or "").split("\n"):
+    for line in (text or "").lower().replace("license-identifier:", "license-identifier").split("\n"):
         for part in re.split(r"(?<=[.!?:;])[ \t]+", line):
             key = re.sub("[^a-z0-9]+", " ", part.lower()).strip()
             if key in table:

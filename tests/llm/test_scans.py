@@ -45,6 +45,18 @@ def test_licenses_of_wrapped_texts(frame):
     assert got == {i: c[1:] for i, c in enumerate(cases)}
 
 
+def test_licenses_by_identifier_and_older_notices(frame):
+    gpl2 = "# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation; either version 2 of the License, or\n# (at your option) any later version.\n"
+    cases = [
+        ("# SPDX-License-Identifier: GPL-2.0-or-later\nimport x", "GPL-2.0-or-later"), ("/* SPDX-License-Identifier: MIT */", "MIT"), ("// SPDX-License-Identifier: BSD-3-Clause-Clear", ""),
+        (gpl2, "GPL-2.0-or-later"), (gpl2.replace("General", "Lesser General").replace("version 2 ", "version 2.1 "), "LGPL-2.1-or-later"),
+        ("This is free and unencumbered software released into the public domain.", "Unlicense"), ("Use of this source code is governed by a BSD-style\nlicense that can be found in the LICENSE file.", "BSD"),
+        ("x " * 400_000 + "\nDistributed under the Boost Software License, Version 1.0.", "BSL-1.0"), ("MIT License\n\nMIT License", "MIT"),
+    ]
+    got = {r["doc_id"]: r["licenses"] for r in license_scan.licenses(frame([(i, c[0]) for i, c in enumerate(cases)])).collect()}
+    assert got == {i: c[1] for i, c in enumerate(cases)}
+
+
 ITEMS = "item_id long, text string"
 
 
@@ -142,10 +154,23 @@ def test_fingerprints(frame, corpus):
         assert (r["first_doc_id"], r["n_copies"]) == (min(group), len(group))
 
 
-def test_fingerprints_in_many_ranges(frame, corpus, monkeypatch):
-    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 7)
-    got = {r["doc_id"]: r["edited_sha256"] for r in fingerprints.edited_fingerprints(frame(corpus)).collect()}
-    assert got == {i: v[1] for i, v in brute.edited(corpus).items()}
+def test_fingerprints_in_many_ranges(spark, frame, corpus):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("1", "23"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = {r["doc_id"]: r["edited_sha256"] for r in fingerprints.edited_fingerprints(frame(corpus)).collect()}
+            assert got == {i: v[1] for i, v in brute.edited(corpus).items()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_fingerprints_of_colliding_texts(spark, frame, monkeypatch):
+    """Bytes decide inside a bucket: with all fingerprints equal the groups are still those of equal texts."""
+    monkeypatch.setattr(fingerprints, "fingerprint", lambda canon: F.substring(canon, 1, 0))
+    rows = [(1, "a"), (2, "A"), (3, "b"), (4, "c"), (5, " B "), (5, " B ")]
+    got = sorted((r["doc_id"], r["first_doc_id"], r["n_copies"]) for r in fingerprints.fingerprints(frame(rows)).collect())
+    assert got == [(1, 1, 2), (2, 1, 2), (3, 3, 3), (4, 4, 1), (5, 3, 3), (5, 3, 3)]
 
 
 def test_fingerprints_fold(frame):
@@ -156,12 +181,27 @@ def test_fingerprints_fold(frame):
 
 
 def test_fingerprints_odd_rows(frame):
-    df = frame([(4, "b"), (4, "a"), (None, "nnn"), (9, "xyz")]).withColumn("part", F.lit(1)).withColumn("next_text", F.lit("q"))
-    got = {(r["doc_id"], r["text"]): r["next_text"] for r in fingerprints.with_next(df.select("doc_id", "text", "part", "next_text")).collect()}
-    assert got == {(9, "xyz"): "b", (4, "b"): "a", (4, "a"): "nnn", (None, "nnn"): "xyz"}
+    rows = [(4, "bbb"), (4, "aaa"), (None, "nnn"), (9, "xyz"), (9, "xyz"), (9, "xyz"), (-1, None)]
+    df = frame(rows).withColumn("part", F.lit(1)).withColumn("next_text", F.lit("q")).withColumn("h1", F.lit("q"))
+    got = fingerprints.edited_fingerprints(df).collect()
+    assert len(got) == 7 and sorted(r["near_next"] for r in got if r["doc_id"] == 9) == [0.0, 1.0, 1.0]
+    sha = lambda t: __import__("hashlib").sha256(t.encode()).hexdigest()
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], set()).add(r["edited_sha256"])
+    # ids descend, those without one come last and are followed by the first; rows of one id stand in either order
+    assert by[None] == {sha("nnx")} and by[-1] == {sha("")} and by[9] in ({sha("xyx"), sha("xya")}, {sha("xyx"), sha("xyb")})
+    assert by[4] in ({sha("aab"), sha("bb")}, {sha("bba"), sha("aa")})
+    assert {r["n_copies"] for r in got if r["doc_id"] == 9} == {3}
     one = fingerprints.edited_fingerprints(frame([(1, "abcdef")])).first()
-    assert one["n_chars"] == 6 and one["near_next"] == 1.0
-    assert fingerprints.edited_fingerprints(frame([])).count() == 0
+    assert one["n_chars"] == 6 and one["near_next"] == 1.0 and one["edited_sha256"] == sha("abcdab")
+    assert fingerprints.edited_fingerprints(frame([])).count() == 0 and fingerprints.fingerprints(frame([])).count() == 0
+
+
+def test_fingerprints_fold_case_and_long_texts(frame):
+    rows = [(1, "Straße"), (2, "STRASSE"), (3, "οδος"), (4, "ΟΔΟΣ"), (5, "w " * 300_000), (6, "W\n" * 300_000)]
+    got = {r["doc_id"]: r["fingerprint"] for r in fingerprints.fingerprints(frame(rows)).collect()}
+    assert got[1] == got[2] and got[3] == got[4] and got[5] == got[6] and len(set(got.values())) == 3
 
 
 URLS = [
@@ -200,7 +240,7 @@ def test_reputation(spark):
     assert [tuple(r) for r in found] == [("b.co.uk", "co.uk"), ("b.co.uk", "co.uk"), ("y.org", "org"), ("org", "org")]
 
 
-@pytest.mark.parametrize("name", ["op1_license_scan", "op5_decontamination", "op9_url_filter"])
+@pytest.mark.parametrize("name", ["op1_license_scan", "op4_near_dedup", "op5_decontamination", "op6_substring_dedup", "op9_url_filter"])
 def test_sql_agrees(spark, name):
     import os
 
