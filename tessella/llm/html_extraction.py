@@ -9,7 +9,8 @@ blocks labelled main, in page order, make the text.
 Scripts, styles, comments, the head and markup never reach a block; a head that
 is not closed ends at the first tag or text that can't stand in it. Character
 references are decoded, white space in a block is one space, blocks are joined
-by an empty line; nothing else is dropped, and no page is cut short.
+by an empty line; nothing else is dropped, and no page is cut short. Reading takes
+time in proportion to the page, however deep its elements and broken its markup.
 
 Defined cases: null or blank html gives the empty text; broken markup is read
 like a browser would where that is cheap (unclosed and stray tags, comments
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,15 +37,17 @@ TRAINING_PAGES, EPOCHS = 900, 8
 #: HTML elements by how they are read.
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = "script|style|xmp|iframe|noembed|noframes|noscript|template|svg|canvas|object|textarea|title"
+_RAW = frozenset("script style xmp iframe noembed noframes noscript template svg canvas object textarea title".split())
 _HEAD = frozenset("html head base basefont bgsound link meta".split())
 _P_CLOSERS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section summary table ul".split())
 _SELF_CLOSERS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPES = frozenset("table ul ol dl td th div section article main aside body".split())
-_TOKEN = re.compile(
-    rf"<!--(?:.*?-->|.*\Z)|<svg(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>|<({_RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</\1\s*>|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
+_BLOCKS = frozenset("html body thead tbody tfoot caption colgroup tr td th li dt dd option select button legend summary".split()) | _P_CLOSERS
+#: Quoted values of a tag that are looked past for its end; one with more ends at its first >.
+QUOTED = 100
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_PLAIN = re.compile(r"[^>\"']*")
+_RAW_END = {x: re.compile(rf"</{x}\s*>", re.I) for x in _RAW}
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
@@ -55,10 +59,10 @@ _TEXT_WORDS = re.compile(r"cookie|subscribe|newsletter|sign up|log ?in|all right
 
 
 class Block:
-    __slots__ = ("text", "tags", "hints", "linked", "at")
+    __slots__ = ("text", "own", "tags", "hints", "linked", "at")
 
-    def __init__(self, text: str, tags: tuple, hints: frozenset, linked: int, at: int):
-        self.text, self.tags, self.hints, self.linked, self.at = text, tags, hints, linked, at
+    def __init__(self, text: str, own: str, tags: frozenset, hints: frozenset, linked: int, at: int):
+        self.text, self.own, self.tags, self.hints, self.linked, self.at = text, own, tags, hints, linked, at
 
 
 def _hints(attributes: str) -> frozenset:
@@ -67,94 +71,156 @@ def _hints(attributes: str) -> frozenset:
     return frozenset(p.lower() for m in _NAMES.finditer(attributes) for p in _PART.findall(m[1] or m[2] or m[3] or "") if p.lower() in _HINTS)
 
 
+def _tag_end(page: str, at: int, last: dict[str, int]) -> int:
+    """The place after the tag whose attributes begin at `at`, past > in quoted values; -1 if the tag has no end."""
+    start = at
+    for _ in range(QUOTED):
+        if at > last[">"]:
+            break
+        at = _PLAIN.match(page, at).end()
+        if at >= len(page):
+            break
+        mark = page[at]
+        if mark == ">":
+            return at + 1
+        if at >= last[mark]:  # no closing quote
+            break
+        at = page.index(mark, at + 1) + 1
+    return page.index(">", start) + 1 if start <= last[">"] else -1
+
+
+def tokens(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, stop, "/" of an end tag, name, attributes) of tags; what holds no text of the page (comments, scripts) has no name."""
+    at, last = page.find("<"), {x: page.rfind(x) for x in ">\"'"}
+    while at >= 0:
+        stop = -1
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            stop = len(page) if end < 0 else end + 3
+            yield at, stop, "", "", ""
+        elif m := _TAG.match(page, at):
+            stop = _tag_end(page, m.end(), last)
+            if stop > 0:
+                slash, name, attributes = m[1], m[2].lower(), page[m.end() : stop - 1]
+                if name in _RAW and not slash:
+                    if not (name == "svg" and attributes.endswith("/")):
+                        end = _RAW_END[name].search(page, stop)
+                        stop = end.end() if end else len(page)
+                    name = ""
+                yield at, stop, slash, name, attributes
+        elif page[at + 1 : at + 2] in ("!", "?", "/") and at < last[">"]:
+            stop = page.index(">", at) + 1
+            yield at, stop, "", "", ""
+        at = page.find("<", stop if stop > 0 else at + 1)
+
+
+class _Open:
+    """The open elements, with where each name is open and what the path to each says."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.paths: list[tuple[str, frozenset, frozenset]] = [("none", frozenset(), frozenset())]  # innermost block, known blocks, hints
+        self.where: dict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []
+
+    def push(self, name: str, attributes: str) -> None:
+        own, tags, hints = self.paths[-1]
+        if name not in _INLINE:
+            self.blocks.append(len(self.names))
+            own = name if name in _BLOCKS else "other"
+            tags = tags if own in tags else tags | {own}
+        more = _hints(attributes)
+        self.where[name].append(len(self.names))
+        self.names.append(name)
+        self.paths.append((own, tags, hints if more <= hints else hints | more))
+
+    def cut(self, depth: int) -> None:
+        """Close all but the outermost `depth` elements."""
+        while len(self.names) > depth:
+            self.where[self.names.pop()].pop()
+            self.paths.pop()
+        while self.blocks and self.blocks[-1] >= depth:
+            self.blocks.pop()
+
+    def last(self, names) -> int:
+        return max((self.where[x][-1] for x in names if self.where[x]), default=-1)
+
+
 def blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a page in order."""
     if not page:
         return []
     out: list[Block] = []
-    stack: list[tuple[str, frozenset]] = []
-    parts: list[str] = []
-    state = {"linked": 0, "at": 0}
+    now, parts = _Open(), []
+    linked = begun = 0
 
     def flush() -> None:
+        nonlocal linked
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                hints = frozenset().union(*(h for _, h in stack)) if stack else frozenset()
-                out.append(Block(text, tuple(t for t, _ in stack if t not in _INLINE), hints, min(state["linked"], len(text)), state["at"]))
+                out.append(Block(text, *now.paths[-1], min(linked, len(text)), begun))
             parts.clear()
-        state["linked"] = 0
-
-    def in_head() -> bool:
-        return bool(stack) and (stack[0][0] == "html" and any(t == "head" for t, _ in stack[:3]) or stack[0][0] == "head")
+        linked = 0
 
-    def leave_head() -> None:
-        stack[:] = [x for x in stack if x[0] != "head"]
+    def head() -> int:
+        """Depth of a head that is open at the top of the page, or -1."""
+        at = now.last(("head",))
+        return at if 0 <= at < 3 and now.names[0] in ("html", "head") else -1
 
     def keep(text: str, at: int) -> None:
-        if in_head() and text.strip():
-            leave_head()
-        if text and not in_head():
+        nonlocal linked, begun
+        if now.where["head"] and head() >= 0:
+            if not text.strip():
+                return
+            now.cut(head())
+        if text:
             if not parts:
-                state["at"] = at
+                begun = at
             parts.append(text)
-            if any(t == "a" for t, _ in stack):
-                state["linked"] += len(text.strip())
+            if now.where["a"]:
+                linked += len(text.strip())
 
-    def close(names, scopes=frozenset()) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
-                flush()
-                del stack[i:]
-                return
-            if stack[i][0] in scopes:
-                return
+    def close(names, scopes=()) -> None:
+        at = now.last(names)
+        if at >= 0 and at > now.last(scopes):
+            flush()
+            now.cut(at)
 
     last = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > last:
-            keep(page[last : m.start()], last)
-        last = m.end()
-        if m[1]:
-            continue
-        end, name, attributes = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
+    for start, stop, slash, name, attributes in tokens(page):
+        if start > last:
+            keep(page[last:start], last)
+        last = stop
         if not name:
             continue
-        name = name.lower()
-        if not end and name not in _HEAD and in_head():
-            leave_head()
+        if not slash and name not in _HEAD and now.where["head"] and head() >= 0:
+            now.cut(head())
         if name == "br":
-            keep(" ", m.start())
-        elif end:
-            if name in _INLINE:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        del stack[i]
-                        break
-                    if stack[i][0] not in _INLINE:
-                        break
+            keep(" ", start)
+        elif slash:
+            at = now.last((name,))
+            if name in _INLINE:  # an end tag closes no block around it
+                if at >= 0 and (not now.blocks or at > now.blocks[-1]):
+                    now.cut(at)
             else:
                 flush()
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        del stack[i:]
-                        break
+                if at >= 0:
+                    now.cut(at)
         elif name in _INLINE:
             if name not in _VOID and not attributes.endswith("/"):
-                stack.append((name, _hints(attributes)))
+                now.push(name, attributes)
         else:
             flush()
-            if name == "body":
-                leave_head()
             if name in _P_CLOSERS:
                 close(("p",), _SCOPES)
             if name in _SELF_CLOSERS:
-                close(_SELF_CLOSERS[name], frozenset(("ul", "ol", "dl", "table")))
+                close(_SELF_CLOSERS[name], ("ul", "ol", "dl", "table"))
             if name not in _VOID and not attributes.endswith("/"):
                 if name in _P_CLOSERS:  # formatting left open does not reach into the next block
-                    while stack and stack[-1][0] in _INLINE and stack[-1][0] != "a":
-                        stack.pop()
-                stack.append((name, _hints(attributes)))
+                    while now.names and now.names[-1] in _INLINE and now.names[-1] != "a":
+                        now.cut(len(now.names) - 1)
+                now.push(name, attributes)
     keep(page[last:], last)
     flush()
     return out
@@ -165,8 +231,7 @@ def features(found: list[Block]) -> list[list[str]]:
     anchors = {t for b in found for t in b.tags} & {"article", "main"}
     rows = []
     for i, b in enumerate(found):
-        tags = set(b.tags)
-        own = b.tags[-1] if b.tags else "none"
+        tags, own = b.tags, b.own
         inside = "article" if "article" in tags else "main" if "main" in tags else "none"
         row = [f"own={own}", f"in={inside}", f"page={'+'.join(sorted(anchors)) or 'none'}", f"in={inside}|page={len(anchors)}"]
         row += [f"tag={t}" for t in tags] + [f"hint={h}" for h in b.hints]
