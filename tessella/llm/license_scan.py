@@ -12,8 +12,9 @@ sequence occurs in it names its licence and uses those identifiers up.
 Everything is one projection over the text: no shuffle, no join, and a text
 without any of KEYS (each known sentence holds one) is not cut at all.
 
-Defined cases: null or empty text has no sentence and no licence; repeated rows
-get equal results; an empty table gives an empty result; other columns are not
+Defined cases: null or empty text has no sentence and no licence; texts of any
+length are read whole; repeated rows get equal results; of rules that name one
+licence the first that fits counts; an empty table gives an empty result; other columns are not
 looked at. The SQL cuts at every line end and only knows sentences on one
 line; on texts without wrapped sentences the two are equal.
 """
@@ -53,7 +54,27 @@ SENTENCES: dict[str, list[str]] = {
     "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "cc0": ["This work is dedicated to the public domain under CC0 1.0.", "This work is in the public domain."],
+    "gpl-redistribute": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation;"],
+    "gpl2-redistribute": ["you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.", "you can redistribute it and/or modify it under the terms of the GNU General Public License, version 2, as published by the Free Software Foundation."],
+    "lgpl-redistribute": ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation;"],
+    "lgpl3-free": ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "agpl3-free": ["you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "later-2": ["either version 2 of the License, or (at your option) any later version."],
+    "later-2-1": ["either version 2.1 of the License, or (at your option) any later version."],
+    "later-3": ["either version 3 of the License, or (at your option) any later version."],
+    "bsd-style": ["Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."],
+    "bsd-warranty": ["THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."],
+    "mpl-incompatible": ["This Source Code Form is \"Incompatible With Secondary Licenses\", as defined by the Mozilla Public License, v. 2.0."],
+    "unlicense": ["This is free and unencumbered software released into the public domain."],
+    "zlib-warranty": ["This software is provided 'as-is', without any express or implied warranty."],
+    "zlib-grant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
+    "boost-short": ["Distributed under the Boost Software License, Version 1.0."],
+    "epl2-short": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"],
+    "apache-contributed": ["Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements."],
 }
+#: SPDX identifiers that a line "SPDX-License-Identifier: ..." may name.
+SPDX = "MIT Apache-2.0 BSD-2-Clause BSD-3-Clause ISC GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later MPL-2.0 CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0 Unlicense Zlib BSL-1.0 EPL-2.0".split()
+SENTENCES |= {f"spdx-{x.lower()}": [f"SPDX-License-Identifier: {x}"] for x in SPDX}
 #: Fixed values: (licence, identifiers in order); earlier rules win over later ones.
 RULES: list[tuple[str, list[str]]] = [
     ("MIT", ["mit-short", "mit-grant", "mit-notice", "mit-warranty"]),
@@ -64,6 +85,17 @@ RULES: list[tuple[str, list[str]]] = [
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("GPL-3.0-or-later", ["gpl-free", "gpl-warranty", "gpl-copy"]),
     ("GPL-3.0-or-later", ["gpl-free"]),
+    ("GPL-2.0-or-later", ["gpl-redistribute", "later-2", "gpl-warranty", "gpl-copy"]),
+    ("GPL-2.0-or-later", ["gpl-redistribute", "later-2"]),
+    ("GPL-3.0-or-later", ["gpl-redistribute", "later-3"]),
+    ("GPL-2.0-only", ["gpl2-redistribute"]),
+    ("LGPL-2.1-or-later", ["lgpl-redistribute", "later-2-1"]),
+    ("LGPL-3.0-or-later", ["lgpl-redistribute", "later-3"]),
+    ("LGPL-3.0-or-later", ["lgpl3-free"]),
+    ("AGPL-3.0-or-later", ["agpl3-free"]),
+    ("Zlib", ["zlib-warranty", "zlib-grant"]),
+    ("Zlib", ["zlib-grant"]),
+    ("Apache-2.0", ["apache-contributed", "apache-short"]),
     ("ISC", ["isc-grant"]),
     ("Apache-2.0", ["apache-short"]),
     ("MIT", ["mit-short"]),
@@ -77,10 +109,18 @@ RULES: list[tuple[str, list[str]]] = [
     ("CC-BY-SA-4.0", ["cc-by-sa"]),
     ("CC-BY-NC-4.0", ["cc-by-nc"]),
     ("CC0-1.0", ["cc0"]),
+    ("BSD", ["bsd-style"]),
+    ("MPL-2.0-no-copyleft-exception", ["mpl-incompatible"]),
+    ("Unlicense", ["unlicense"]),
+    ("BSL-1.0", ["boost-short"]),
+    ("EPL-2.0", ["epl2-short"]),
 ]
+RULES += [(x, [f"spdx-{x.lower()}"]) for x in SPDX]
 #: Words of which every known sentence has one.
 KEYS = ("licen", "permission", "permitted", "redistribut", "warrant", "public domain", "copyright")
 _CUT, _FOLD = r"([.!?:;])[ \t]+", "[^a-z0-9]+"
+#: Fixed value: what names a licence by its identifier; its colon ends no sentence.
+_TAG = "license-identifier:"
 #: Marks in a normalised text: the end of a sentence; a line end is "\n".
 _END = "\x01"
 
@@ -94,6 +134,7 @@ def _table(sentences: dict[str, list[str]]) -> dict[str, str]:
     found: dict[str, str] = {}
     for name, forms in sentences.items():
         for form in forms:
+            form = form.lower().replace(_TAG, _TAG[:-1])
             part = max((normal(x) for x in re.sub(_CUT, r"\1\n", form).split("\n")), key=len)
             if not any(k in part for k in KEYS):
                 raise ValueError(f"no key word in {form!r}")
@@ -103,7 +144,7 @@ def _table(sentences: dict[str, list[str]]) -> dict[str, str]:
 
 def _marked(text: Column) -> Column:
     """The normalised text, words parted by one space or mark, between two marks."""
-    text = F.regexp_replace(F.lower(text), r"\n[^a-z0-9\n]+", "\n")
+    text = F.regexp_replace(F.replace(F.lower(text), F.lit(_TAG), F.lit(_TAG[:-1])), r"\n[^a-z0-9\n]+", "\n")
     text = F.regexp_replace(text, r"[.!?:;](?:[ \t]+|[ \t\r]*\n)", _END)
     text = F.regexp_replace(text, rf"[^a-z0-9\n{_END}]+", " ")
     text = F.regexp_replace(text, rf"{_END}[ \n{_END}]*", _END)
@@ -151,7 +192,7 @@ def oracle_sql(sentences: dict[str, list[str]] = SENTENCES, rules: list[tuple[st
 WITH known(sentence, id) AS (VALUES {known}),
 docs AS (SELECT row_number() OVER () AS row, doc_id, text FROM documents),
 parts AS (SELECT row, generate_subscripts(p, 1) AS i, unnest(p) AS s FROM (
-  SELECT row, string_split(regexp_replace(text, '([.!?:;])[ \\t]+', '\\1' || chr(10), 'g'), chr(10)) AS p FROM docs)),
+  SELECT row, string_split(regexp_replace(replace(lower(text), '{_TAG}', '{_TAG[:-1]}'), '([.!?:;])[ \\t]+', '\\1' || chr(10), 'g'), chr(10)) AS p FROM docs)),
 hits AS (SELECT row, i, id FROM parts JOIN known ON sentence = trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))),
 per AS (SELECT row, count(*) AS n, string_agg(id, ',' ORDER BY i) AS ids, string_agg(id, '|' ORDER BY i) AS seq FROM hits GROUP BY row),
 seq AS (SELECT doc_id, coalesce(n, 0) AS n, coalesce(ids, '') AS ids, '|' || coalesce(seq, '') || '|' AS l, '' AS f FROM docs LEFT JOIN per USING (row)),
