@@ -1,17 +1,17 @@
 """Quality selection by importance resampling.
 
 Two generative models of hashed word and word-pair counts are made: one of the
-target texts, one of all raw texts. A document's log importance is the mean over
-its n-grams of the log ratio of their probabilities, times a fixed length, so
-that long and short texts compare. Adding Gumbel noise and taking the k greatest
-keys samples k documents without replacement in proportion to their importance.
+target texts, one of all raw texts. A document's log importance is the log ratio
+of its probabilities under the two, the sum over its n-grams. Adding Gumbel noise
+and taking the k greatest keys samples k documents without replacement in
+proportion to their importance.
 
 Scale: counts are made in numpy over whole Arrow batches, summed up by task, and
 reach the driver as one number for each of the 2 x 2 x BUCKETS cells. The k-th
 greatest key is found by narrowing histograms, not by a sort of all rows.
 
 Defined cases: a null text or one without words has no n-grams and log
-importance 0; repeated rows get equal keys; rows tied with the k-th key are all
+importance 0; texts of any length are read whole; repeated rows get equal keys; rows tied with the k-th key are all
 kept; rows without an id draw from an id of their own; without target texts both
 models are flat and all documents are alike; an empty table gives an empty
 result.
@@ -30,8 +30,8 @@ from tessella.llm import textkit
 from tessella.llm.common import Workspace
 from tessella.llm.textkit import U64
 
-#: Buckets of words and as many of word pairs; pseudo-count of a bucket; n-grams that a document is scaled to.
-BUCKETS, PRIOR, LENGTH = 1 << 17, 2.0, 100
+#: Buckets of words and as many of word pairs; pseudo-count of a bucket.
+BUCKETS, PRIOR = 1 << 17, 2.0
 #: Keys that are gathered at most to find the k-th.
 GATHERED = 10_000
 
@@ -102,7 +102,7 @@ def _score(ratio: np.ndarray):
                 size[first : first + n] = np.bincount(rows, minlength=n)
                 total[first : first + n] = np.bincount(rows, ratio[buckets], n)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size), pa.array(total / np.maximum(size, 1) * LENGTH)], names=["doc_id", "n_features", "log_weight"]
+                [batch.column("doc_id"), pa.array(size), pa.array(total)], names=["doc_id", "n_features", "log_weight"]
             )
 
     return run
