@@ -2,31 +2,36 @@
 
 The network reads fixed-length byte windows: filters of several widths run over
 one-hot bytes, each filter is max-pooled over the window, and a softmax layer
-names the language. It is trained in numpy on a bounded sample of labelled rows
-and applied to all windows of every whole text; a document takes the mean of its
-windows' distributions, weighted by their length.
+names the language. It is trained in numpy on a bounded sample of labelled rows,
+drawn at random from all of each language, and on windows drawn at random from
+their whole texts, as many of each language; it is applied to all windows of
+every whole text, and a document takes the mean of its windows' distributions,
+weighted by their length.
 
 Defined cases: null text, or text without a letter -> `und` with score 0; rows
 are judged one by one, so repeated rows get equal results; an empty table gives
-an empty result; with no learnable label every text is `und`. Columns other than
-the id, text and label are ignored.
+an empty result; with no learnable label every text is `und`; ties between
+languages go to the first by name. Columns other than the id, text and label are
+ignored and kept, whatever their names, but for lang_pred and score.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from tessella.llm import textkit
 
 WINDOW = 256
 WIDTHS = (2, 3, 4, 5)
 FILTERS = 12
-#: Bound of the training sample: labelled rows a language, pieces a row, languages.
-ROWS_PER_LANGUAGE, PIECES_PER_ROW, LANGUAGES = 400, 6, 512
+#: Bound of the training sample: labelled rows a language. Training steps a language, and windows a step.
+ROWS_PER_LANGUAGE, STEPS_PER_LANGUAGE, BATCH = 300, 200, 64
 UNKNOWN = "und"
 
 
@@ -42,19 +47,22 @@ class ByteConvNet:
         self.out = rng.normal(0, 0.1, (FILTERS * len(WIDTHS), len(languages))).astype(np.float32)
         self.out_bias = np.zeros(len(languages), np.float32)
 
-    def fit(self, windows: np.ndarray, labels: np.ndarray, epochs: int = 5, batch: int = 64, rate: float = 4e-3) -> None:
+    def fit(self, windows: np.ndarray, labels: np.ndarray, steps: int, rate: float = 4e-3) -> None:
+        """Each step draws BATCH windows, each language as likely as any other."""
         params = [*self.tables.values(), self.bias, self.out, self.out_bias]
         moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-        step = 0
-        for _ in range(epochs):
-            order = self.rng.permutation(len(windows))
-            for at in range(0, len(order), batch):
-                rows = order[at : at + batch]
-                step += 1
-                for p, g, (m, v) in zip(params, self._gradients(windows[rows], labels[rows]), moments, strict=True):
-                    m += 0.1 * (g - m)
-                    v += 0.01 * (g * g - v)
-                    p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
+        order = np.argsort(labels, kind="stable")
+        counts = np.bincount(labels, minlength=len(self.languages))
+        begin = np.cumsum(counts) - counts
+        present = np.flatnonzero(counts)
+        for step in range(1, steps + 1):
+            y = self.rng.choice(present, BATCH)
+            rows = order[begin[y] + (self.rng.random(BATCH) * counts[y]).astype(np.int64)]
+            slow = min(1.0, 2 * (1 - (step - 1) / steps))  # the second half slows down to a stop
+            for p, g, (m, v) in zip(params, self._gradients(windows[rows], y), moments, strict=True):
+                m += 0.1 * (g - m)
+                v += 0.01 * (g * g - v)
+                p -= slow * rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
 
     def _gradients(self, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
         n, features, peaks = len(x), [], []
@@ -125,46 +133,35 @@ def in_training(doc_id: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, label_col: str) -> list[tuple[str, str]]:
-    """(language, piece) of at most about ROWS_PER_LANGUAGE rows for each language, spread over each whole text."""
+    """(language, whole text) of ROWS_PER_LANGUAGE rows of each language at most, drawn by a hash of their ids."""
     rows = docs.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & in_training(F.col(id_col)))
-    counts = rows.groupBy(F.col(label_col).alias("label")).count().orderBy(F.desc("count"), "label").limit(LANGUAGES).collect()
-    if not counts:
-        return []
-    share = F.lit(0)
-    for r in counts:
-        share = F.when(F.col(label_col) == r["label"], int(min(1.0, ROWS_PER_LANGUAGE / r["count"]) * 1_000_000)).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1_000_000))
-    size = F.length(text_col)
-    cut = [F.substring(F.col(text_col), F.lit(1) + (size * i / PIECES_PER_ROW).cast("int"), F.lit(WINDOW)) for i in range(PIECES_PER_ROW)]
-    picked = (
-        rows.filter(draw < share)
-        .orderBy(draw, id_col)
-        .limit(2 * ROWS_PER_LANGUAGE * len(counts))
-        .select(F.col(label_col).alias("label"), F.array_distinct(F.array(*cut)).alias("cut"))
-    )
-    return [(r["label"], piece) for r in picked.collect() for piece in r["cut"] if piece.strip()]
+    rows = rows.select(F.col(label_col).alias("label"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.lit("sample")).alias("draw"), F.xxhash64(F.col(text_col)).alias("tie"))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("draw", "tie"))  # limited before the shuffle
+    picked = rows.withColumn("rank", rank).filter(F.col("rank") <= ROWS_PER_LANGUAGE).select("label", "text")
+    return [(r["label"], r["text"]) for r in picked.collect()]
 
 
 def train(sample: list[tuple[str, str]], seed: int = 7) -> ByteConvNet | None:
     """Fit on the sample, with shortened and upper-cased variants; None if there is nothing to learn."""
+    sample = sorted((label, text) for label, text in sample if text.strip())
     languages = sorted({label for label, _ in sample})
     if not languages:
         return None
     rng = np.random.default_rng(seed)
     index = {x: i for i, x in enumerate(languages)}
-    sample = sorted(sample)
-    windows, labels = np.zeros((len(sample), WINDOW), np.uint8), np.zeros(len(sample), np.int64)
-    for i, (label, piece) in enumerate(sample):
-        draw = rng.random()
-        raw = (piece.upper() if draw < 0.15 else piece.lower() if draw < 0.3 else piece).encode()
-        raw = raw[: WINDOW if rng.random() < 0.5 else int(rng.integers(12, WINDOW))]
-        windows[i, : len(raw)] = np.frombuffer(raw, np.uint8)
-        labels[i] = index[label]
-    # as many windows of each language, so that a common one is no safer guess
-    most = np.bincount(labels).max()
-    picks = np.concatenate([np.resize(np.flatnonzero(labels == i), min(most, 2400)) for i in range(len(languages))])
+    raw = [text.encode() for _, text in sample]
+    whole = np.frombuffer(b"".join(raw), np.uint8)
+    windows, rows, lengths = windows_of(whole, np.append(0, np.cumsum([len(x) for x in raw])))
+    for i in range(len(windows)):
+        draw, cut = rng.random(2)
+        if draw < 0.3:
+            text = windows[i, : lengths[i]].tobytes().decode(errors="ignore")
+            new = (text.upper() if draw < 0.15 else text.lower()).encode()[:WINDOW]
+            windows[i] = np.frombuffer(new.ljust(WINDOW, b"\0"), np.uint8)
+        if cut < 0.5:
+            windows[i, int(12 + 2 * cut * (WINDOW - 12)) :] = 0
     net = ByteConvNet(languages, seed)
-    net.fit(windows[picks], labels[picks])
+    net.fit(windows, np.array([index[label] for label, _ in sample])[rows], STEPS_PER_LANGUAGE * len(languages))
     return net
 
 
@@ -202,7 +199,7 @@ def predictor(net: ByteConvNet | None, text_at: str, letter_at: str):
 def identify(docs: DataFrame, net: ByteConvNet | None, text_col: str = "text") -> DataFrame:
     """`docs` with lang_pred and score; a column of either name in `docs` is replaced."""
     docs = docs.drop("lang_pred", "score")
-    letter = "__has_letter"
+    letter = "letter_" + uuid.uuid4().hex  # no column of `docs`
     seen = docs.withColumn(letter, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
     schema = docs.schema.add("lang_pred", "string").add("score", "double")
     return seen.mapInArrow(predictor(net, text_col, letter), schema)

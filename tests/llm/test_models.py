@@ -46,6 +46,41 @@ def test_language_sample_is_bounded_and_held_out(frame, monkeypatch):
     assert len(ids) <= 80 and not any(brute.held_out(i) for i in ids) and {x for x, _ in sample} == {"en", "fr"}
 
 
+def test_language_sample_holds_whole_texts_of_all_languages(frame):
+    rows = [(i, f"text {i} " + "z" * 3000, f"l{i % 700}") for i in range(1500)]
+    sample = language_id.training_sample(frame(rows), "doc_id", "text", "lang")
+    learnable = {lang for i, _, lang in rows if not brute.held_out(i)}
+    assert {x for x, _ in sample} == learnable and len(learnable) > 512 and all(len(t) > 3000 for _, t in sample)
+
+
+def test_network_gradients():
+    """Against finite differences of the cross entropy."""
+    rng = np.random.default_rng(1)
+    net = language_id.ByteConvNet(["a", "b", "c"])
+    x, y = rng.integers(0, 256, (6, 40)).astype(np.uint8), rng.integers(0, 3, 6)
+    params = [*net.tables.values(), net.bias, net.out, net.out_bias]
+    for i, p in enumerate(params):
+        params[i][...] = p.astype(np.float32)
+
+    def loss():
+        features = []
+        for w in language_id.WIDTHS:
+            span = 40 - w + 1
+            features.append(sum(net.tables[w, k].astype(float)[x[:, k : k + span]] for k in range(w)).max(1))
+        p = language_id.softmax(np.maximum(np.concatenate(features, 1) + net.bias.astype(float), 0) @ net.out.astype(float) + net.out_bias.astype(float))
+        return -np.log(p[np.arange(6), y]).mean() + 0.5e-4 * (net.out.astype(float) ** 2).sum()
+
+    for p, g in zip(params, net._gradients(x, y), strict=True):
+        at = np.unravel_index(np.abs(g).argmax(), g.shape)
+        old, step = p[at], np.float32(1e-3)
+        p[at] = old + step
+        high, up = loss(), float(p[at])
+        p[at] = old - step
+        low, down = loss(), float(p[at])
+        p[at] = old
+        assert abs((high - low) / (up - down) - g[at]) < 2e-3 * max(1, abs(g[at]))
+
+
 def test_network_tables_give_the_convolution():
     net = language_id.ByteConvNet(["a", "b"])
     x = np.random.default_rng(0).integers(0, 256, (5, 64)).astype(np.uint8)
@@ -82,6 +117,41 @@ def test_quality_counts_and_weights(frame, spark):
     assert quality.resample(frame(rows), frame([], "doc_id long"), 1.0).filter("kept").count() == len(rows)
 
 
+def test_quality_is_importance_resampling(frame, corpus):
+    """Weights, keys and kept rows against a plain form over hashed words and word pairs."""
+    import xxhash
+
+    rows = [*corpus, (None, "one two"), (1, corpus[4][1])]
+    target = {i for i, _ in corpus[:40]}
+    got = quality.resample(frame(rows), frame([(i,) for i in target], "doc_id long"), 0.3).collect()
+
+    def grams(text):
+        batch = pa.array([text or ""])
+        (_, data, offs), = quality.textkit.pieces(batch)
+        return quality._grams(quality.textkit.Words(data, offs, fold=True))[0].tolist()
+
+    own = [grams(t) for _, t in rows]
+    raw, wanted = np.zeros(2 * quality.BUCKETS), np.zeros(2 * quality.BUCKETS)
+    for (i, _), g in zip(rows, own, strict=True):
+        np.add.at(raw, g, 1)
+        if i in target:
+            np.add.at(wanted, g, 1)
+    ratio = np.zeros(2 * quality.BUCKETS)
+    for part in (slice(0, quality.BUCKETS), slice(quality.BUCKETS, None)):
+        scale = wanted[part].sum() / raw[part].sum()
+        ratio[part] = np.log((wanted[part] + quality.PRIOR) / (raw[part] * scale + quality.PRIOR))
+    weights = sorted((i or 0, round(float(ratio[g].sum()), 2)) for (i, _), g in zip(rows, own, strict=True))
+    assert np.allclose([w for _, w in weights], [w for _, w in sorted((r["doc_id"] or 0, r["log_weight"]) for r in got)], atol=0.05)
+
+    def noise(i):
+        u = (xxhash.xxh64(np.int64(-1 if i is None else i).tobytes(), seed=xxhash.xxh64(np.int32(1).tobytes(), seed=42).intdigest()).intdigest() % (1 << 52) + 0.5) / (1 << 52)
+        return -np.log(-np.log(u))
+
+    assert all(abs(r["key"] - r["log_weight"] - noise(r["doc_id"])) < 1e-6 for r in got)
+    bound = sorted((r["key"] for r in got), reverse=True)[round(0.3 * len(rows)) - 1]
+    assert all(r["kept"] == (r["key"] >= bound) for r in got)
+
+
 @pytest.mark.parametrize("gathered", [3, 10_000])
 def test_kth_greatest(spark, monkeypatch, gathered):
     monkeypatch.setattr(quality, "GATHERED", gathered)
@@ -212,3 +282,20 @@ def test_blocks_after_an_open_head_and_a_self_closed_svg():
     assert texts("<html><head><title>T</title> </head> <body><p>One") == ["One"]
     assert texts("<p>One</p><svg viewBox='0 0 1 1' /><p>two</p>") == ["One", "two"]
     assert texts('<p>One</p><svg/><p>two <svg class="/>"><text>no</text></svg>three</p>') == ["One", "two three"]
+
+
+def test_blocks_of_deep_and_broken_pages_take_linear_time():
+    import time
+
+    n = 20_000
+    pages = ["<div>x" * n, '<a "> x' * n, "<a " * n, "<b>" * n + "</i>" * n, "<div>" * n + "<body>" * n, "".join(f"<x{i} class='ad{i}'>t" for i in range(n)), "<b><i>" * n + "x</b></i>" * n]
+    began = time.process_time()
+    counts = [len(html_extraction.blocks(p)) for p in pages]
+    assert time.process_time() - began < 20 and counts[0] == n and counts[5] == n
+
+
+def test_tags_end_behind_quotes():
+    texts = lambda page: [b.text for b in html_extraction.blocks(page)]
+    assert texts('<p title="a > b">one</p><p title=\'x">\'>two</p>') == ["one", "two"]
+    assert texts('<p title="open>one</p>two') == ["one", "two"] and texts("a < b <c") == ["a < b <c"] and texts("1 <2> 3") == ["1 <2> 3"]
+    assert texts("<script>if (a<b) '</p>'</script >x<!DOCTYPE y>") == ["x"] and texts("<b>one <i>two</b> three</i><p>four") == ["one two three", "four"]
