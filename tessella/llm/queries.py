@@ -93,6 +93,8 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_license_scan": license_scan.oracle_sql(),
+    "op4_near_dedup": near_dedup.oracle_sql(k=4, percent=80),
     "op5_decontamination": decontamination.oracle_sql(),
+    "op6_substring_dedup": substring_dedup.oracle_sql(width=35),
     "op9_url_filter": url_filter.oracle_sql(URL_RULES),
 }

@@ -46,3 +46,37 @@ def test_pipeline(spark, frame, tmp_path, writer):
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted(map(tuple, whole.select(key).collect()), key=repr) == sorted(map(tuple, docs.select(key).collect()), key=repr)
     assert whole.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 4096
+
+
+def test_stages_on_odd_tables(spark, frame, tmp_path, writer):
+    """Empty tables, nulls in any column, clashing and missing columns, long texts."""
+    text, item = " ".join(writer.words(60)), " ".join(writer.words(40))
+    spark.createDataFrame([(1, item), (None, None), (2, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    odd = [(None,) * 5, (1, None, None, None, None), (2, "", "en", "s", 0), (3, text, "en", None, None), (4, (text + " ") * 300, None, "s", 1), (5, item, "en", "s", 2), (-1, item + " x", "en", "s", 2)]
+    clash = {"__row": "a", "__hash": "b", "component_id": "c", "kept": "d", "n_words": "e", "spans": "f", "lang_pred": "g", "id": "h", "part": "i"}
+    for rows in ([], odd):
+        docs = frame(rows).withColumns({k: F.lit(v) for k, v in clash.items()})
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+            got = {r["doc_id"] for r in out.collect()}
+            if name == "decontamination" and rows:
+                assert got == {None, 1, 2, 3, 4}
+        assert corpus_pipeline.packed(spark, docs, str(tmp_path)).count() >= len(rows)
+    short = frame(odd).select("doc_id", "text")
+    assert corpus_pipeline.repeats(spark, short, str(tmp_path)).columns == corpus_pipeline.near_duplicates(spark, short, str(tmp_path)).columns == ["doc_id", "text"]
+
+
+def test_work_tables_go(spark, frame, tmp_path):
+    import os
+
+    from tessella.llm.common import Workspace, release_all, released
+
+    work = Workspace(spark)
+    path = work.put(frame([(1, "a")]))._tessella_path.replace("file://", "")
+    with released():
+        inner = Workspace(spark)
+        other = inner.put(frame([(2, "b")]))._tessella_path.replace("file://", "")
+    assert os.path.exists(path) and not os.path.exists(other)
+    release_all()
+    assert not os.path.exists(path)
