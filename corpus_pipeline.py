@@ -1,9 +1,16 @@
 """A training corpus from raw documents: five stages, each over all that the one before kept.
 
 Every stage reads the table that the stage before has written, decides on its
-own input, and passes on the columns of `documents`; the last gives the packed
-pieces. There is no SQL for the whole: the language model and the tokenizer
-can't be expressed in it.
+own input, and passes on the columns of `documents` that its input has; the last
+gives the packed pieces. There is no SQL for the whole: the language model and
+the tokenizer can't be expressed in it.
+
+Defined cases, in every stage: other columns than those of `documents`, whatever
+their names, are not passed on; null text is the empty text, which has no
+language, is a copy of nothing, has no passage and no item; repeated rows are
+rows of their own until near_duplicates keeps one; a row without id is judged by
+its text like any other; an empty table gives an empty result; texts of any
+length are read whole; ties are broken by the least id, then by a hash.
 """
 
 from __future__ import annotations
@@ -12,7 +19,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessella.llm import decontamination, language_id, near_dedup, packing, substring_dedup
-from tessella.llm.common import DOCUMENT_COLUMNS, Workspace, table
+from tessella.llm.common import DOCUMENT_COLUMNS, Workspace, released, table
 
 #: Least share of a text's windows, as the network weighs them, that its language must have.
 LEAST_SCORE = 0.5
@@ -76,7 +83,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; each result is written to the shared folder and read again."""
-    work, docs = Workspace(spark), table(spark, sf_dir, "documents")
+    work, docs, before = Workspace(spark), table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs = work.put(stage(spark, docs, sf_dir))
+        with released():  # what the stage's operators have written
+            docs = work.put(stage(spark, docs, sf_dir))
+        if before is not None:
+            work.drop(before)
+        before = docs
     return docs
