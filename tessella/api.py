@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import SparkSession
 
+from tessella.functions.keeping import kept, letting_go
 from tessella.operators.dataset import Dataset
 from tessella.plans import discovery, reports
 from tessella.plans.render import plain, schema_yaml, truncated
@@ -34,7 +35,8 @@ class Tools:
         if tool not in self.names():
             return {"error": f"Unknown tool: {tool}"}
         try:
-            return {"result": getattr(self, tool)(**arguments)}
+            with letting_go():
+                return {"result": getattr(self, tool)(**arguments)}
         except Exception as e:  # a tool's failure is its answer
             return {"error": str(e).splitlines()[0] if str(e) else type(e).__name__}
 
@@ -113,6 +115,12 @@ class Tools:
     def _kb(self, project: str) -> KnowledgeBase:
         return KnowledgeBase.open(self.spark, self.knowledge_dir, project)
 
+    def _kept(self, project: str) -> KnowledgeBase:
+        """With its file table cached while the tool runs."""
+        kb = self._kb(project)
+        kb.file_symbols = kept(kb.file_symbols)
+        return kb
+
     def index_project(self, path: str, name: str, exclude: list[str] | None = None):
         return index_project(self.spark, path, name, self.knowledge_dir, exclude).meta
 
@@ -134,7 +142,7 @@ class Tools:
         return plain(found)
 
     def get_dependencies(self, project: str, symbol: str, direction: str = "both", depth: int = 1):
-        found = graph.dependencies(self._kb(project).cache(), symbol, direction, depth)
+        found = graph.dependencies(self._kept(project), symbol, direction, depth)
         if found is None:
             raise LookupError(f"Symbol not found: {symbol}")
         return found
@@ -143,7 +151,7 @@ class Tools:
         return plain(search.file_symbols(self._kb(project), file).first())
 
     def find_relevant_files(self, project: str, task: str, max_files: int = 10, exclude: list[str] | None = None):
-        return ranking.context(self._kb(project).cache(), task, max_files, exclude)
+        return ranking.context(self._kept(project), task, max_files, exclude)
 
     def get_namespace_summary(self, project: str, namespace: str):
         return [plain(r) for r in search.namespace_summary(self._kb(project), namespace).collect()]
@@ -161,10 +169,10 @@ class Tools:
         return [plain(r) for r in search.export(self._kb(project), namespace, file).collect()]
 
     def resolve_type(self, project: str, type_name: str, dependencies: bool = False):
-        found = graph.resolve_type(self._kb(project).cache(), type_name, dependencies)
+        found = graph.resolve_type(self._kept(project), type_name, dependencies)
         if found is None:
             raise LookupError(f"Type not found: {type_name}")
         return plain(found)
 
     def ask(self, project: str, question: str):
-        return plain(ranking.ask(self._kb(project).cache(), question))
+        return plain(ranking.ask(self._kept(project), question))

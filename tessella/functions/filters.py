@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from decimal import Decimal
 
 from pyspark.sql import Column, functions as F, types as T
 
@@ -42,7 +43,9 @@ def literal(text: str) -> object:
     if text in ("true", "false", "null"):
         return {"true": True, "false": False, "null": None}[text]
     if _NUMBER.match(text):
-        return float(int(text, 16)) if text.lower().startswith("0x") else float(text)
+        if text.lower().startswith("0x"):
+            return int(text, 16)
+        return int(text) if text.lstrip("+-").isdigit() else float(text)
     return text
 
 
@@ -89,9 +92,7 @@ def _equals(v: Column, dtype: T.DataType, value: object) -> Column:
     if isinstance(value, bool):
         return paths.as_flag(v, dtype) == value
     if isinstance(value, (int, float)):
-        if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-            return v == int(value) if value == int(value) else F.lit(False)
-        return (v if isinstance(dtype, T.DoubleType) else paths.as_number(v, dtype)) == value
+        return F.coalesce(_numbers(v, dtype, "=", value), F.lit(False)) if isinstance(dtype, T.VariantType) else _numbers(v, dtype, "=", value)
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return v == F.lit(value).cast(dtype)
     return paths.as_text(v, dtype) == value
@@ -110,16 +111,37 @@ def _millis(value: object) -> float | None:
 
 
 def _compare(a: Column, operator: str, b) -> Column:
-    return {">": a > b, "<": a < b, ">=": a >= b, "<=": a <= b}[operator]
+    return {">": a > b, "<": a < b, ">=": a >= b, "<=": a <= b, "=": a == b}[operator]
+
+
+_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
+
+
+def _numbers(v: Column, dtype: T.DataType, operator: str, value: int | float) -> Column:
+    """A number against a literal; integers, also beyond the exact range of doubles, are compared as such."""
+    whole = value == value and abs(value) != float("inf") and value == int(value)
+    fits = whole and _LEAST <= int(value) <= _MOST
+    if isinstance(dtype, T.VariantType):
+        own, other = paths.exact_integer(v, dtype), _compare(paths.as_number(v, dtype), operator, float(value))
+        return F.when(own.isNotNull(), _compare(own, operator, int(value))).otherwise(other) if fits else other
+    if isinstance(dtype, paths.INTEGERS):
+        if fits:
+            return _compare(v, operator, int(value))
+        return F.lit(False) if operator == "=" else _compare(v.cast("double"), operator, float(value))
+    if isinstance(dtype, T.DecimalType):
+        bound = Decimal(int(value)) if whole else Decimal(repr(value))
+        return _compare(v, operator, F.lit(bound) if abs(bound) < Decimal(10) ** 38 and -bound.as_tuple().exponent <= 38 else float(value))
+    return _compare(v if isinstance(dtype, T.DoubleType) else paths.as_number(v, dtype), operator, float(value))
 
 
 def _ordered(v: Column, dtype: T.DataType, operator: str, value: object, numbers_only: bool, truncate: bool) -> Column:
     number = isinstance(value, (int, float)) and not isinstance(value, bool)
-    if isinstance(dtype, paths._NUMBERS) and number:
-        a = F.floor(v) if truncate else v
-        return _compare(a, operator, int(value) if truncate or value == int(value) else value)
+    if number and (numbers_only or isinstance(dtype, paths._NUMBERS)):
+        if truncate:
+            return _compare(F.floor(v), operator, int(value))
+        return _numbers(v, dtype, operator, value)
     if numbers_only:
-        return _compare(paths.as_number(v, dtype), operator, value) if number else F.lit(False)
+        return F.lit(False)
     at = _millis(value)
     if at is None:
         return F.lit(False)
@@ -127,9 +149,8 @@ def _ordered(v: Column, dtype: T.DataType, operator: str, value: object, numbers
         bound = F.timestamp_millis(F.lit(int(at))) if number else F.lit(datetime.fromtimestamp(at / 1000, timezone.utc))
         return _compare(v, operator, bound.cast(dtype) if not isinstance(dtype, T.DateType) else bound)
     if number and isinstance(dtype, T.VariantType):
-        a = paths.as_number(v, dtype)
-        a, b = (F.floor(a), float(int(value))) if truncate else (a, float(value))
-        return F.coalesce(_compare(a, operator, b), _compare(paths.text_millis(paths.as_text(v, dtype)).cast("double"), operator, at))
+        own = _compare(F.floor(paths.as_number(v, dtype)), operator, int(value)) if truncate else _numbers(v, dtype, operator, value)
+        return F.coalesce(own, _compare(paths.text_millis(paths.as_text(v, dtype)).cast("double"), operator, at))
     return _compare(paths.as_millis(v, dtype), operator, at)
 
 
@@ -142,7 +163,8 @@ def test_value(v: Column, dtype: T.DataType, c: Condition, numbers_only: bool =
             return ~paths.is_null(v, dtype)
         if isinstance(dtype, T.VariantType):
             return ~F.coalesce(_equals(v, dtype, c.value), F.lit(False))
-        return v.isNotNull() & ~F.coalesce(_equals(v, dtype, c.value), F.lit(False)) if not _plain(dtype, c.value) else v != c.value
+        # a NULL of a typed row is an explicit null, which differs from any other value
+        return v.isNull() | (v != c.value if _plain(dtype, c.value) else ~F.coalesce(_equals(v, dtype, c.value), F.lit(False)))
     if c.operator == "exists":
         return ~paths.is_null(v, dtype)
     if c.operator == "contains":

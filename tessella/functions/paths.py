@@ -15,12 +15,10 @@ knows only NULL, which counts as an explicit null where it is a value.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F, types as T
 
-_SEGMENT = re.compile(r"([^.\[\]]+)|\[(\*|\d+)\]")
 VARIANT = T.VariantType()
 
 
@@ -30,16 +28,20 @@ class Segment:
     value: str = ""
 
 
+def _bracketed(text: str) -> Segment:
+    if text == "*":
+        return Segment("all")
+    return Segment("index" if text.isascii() and text.isdigit() else "key", text)
+
+
 def parse_path(path: str) -> list[Segment]:
-    """Segments of a path. A bare `*` is a key, `[abc]` is the key abc."""
-    out = []
-    for m in _SEGMENT.finditer(path):
-        if m[1] is not None:
-            out.append(Segment("key", m[1]))
-        elif m[2] == "*":
-            out.append(Segment("all"))
-        else:
-            out.append(Segment("index", m[2]))
+    """Segments of a path. A bare `*` is a key, `[abc]` is the key abc, dots and brackets without content say nothing."""
+    out: list[Segment] = []
+    for piece in path.split("."):
+        name, *rest = piece.replace("]", "[").split("[")
+        # what is outside brackets stands at even places, what is inside at odd ones
+        inside = [False] + [i % 2 == 0 for i in range(len(rest))] if "[" in piece else [False] * (1 + len(rest))
+        out += [_bracketed(part) if within else Segment("key", part) for part, within in zip([name, *rest], inside, strict=True) if part]
     return out
 
 
@@ -75,10 +77,12 @@ class TypedBackend:
     def __init__(self, schema: T.StructType, prefix: str | None = None):
         self.schema, self.prefix = schema, prefix
 
-    def values(self, path: str) -> Values:
+    def values(self, path: str, arrays_only: bool = False) -> Values:
+        """With arrays_only a wildcard stands for the elements of arrays alone, not for the values of objects."""
         column, dtype, many = None, self.schema, False
         for seg in parse_path(path):
-            step = self._step(column, dtype, many, seg)
+            off = arrays_only and seg.kind == "all" and not isinstance(dtype, (T.ArrayType, T.VariantType))
+            step = None if off else self._step(column, dtype, many, seg, arrays_only)
             if step is None:
                 return Values(F.array().cast("array<string>"), T.StringType(), False)
             column, dtype, many = step
@@ -90,7 +94,7 @@ class TypedBackend:
         quoted = f"`{name}`"
         return F.col(f"{self.prefix}.{quoted}" if self.prefix else quoted)
 
-    def _step(self, column: Column | None, dtype: T.DataType, many: bool, seg: Segment):
+    def _step(self, column: Column | None, dtype: T.DataType, many: bool, seg: Segment, arrays_only: bool = False):
         if column is None:
             if seg.kind == "key" and seg.value in self.schema.fieldNames():
                 return self._root(seg.value), self.schema[seg.value].dataType, False
@@ -98,7 +102,7 @@ class TypedBackend:
                 column = F.struct(*[self._root(f.name) for f in self.schema.fields])
             else:
                 return None
-        found = self._inside(dtype, seg)
+        found = self._inside(dtype, seg, arrays_only)
         if found is None:
             return None
         get, out, spreads = found
@@ -108,7 +112,7 @@ class TypedBackend:
         mapped = F.transform(F.filter(column, lambda x: x.isNotNull()), get)
         return (F.flatten(F.filter(mapped, lambda x: x.isNotNull())) if spreads else mapped, out, True)
 
-    def _inside(self, dtype: T.DataType, seg: Segment):
+    def _inside(self, dtype: T.DataType, seg: Segment, arrays_only: bool = False):
         """(column -> column, type, whether the result is an array of values)."""
         if isinstance(dtype, T.StructType):
             if seg.kind == "key" and seg.value in dtype.fieldNames():
@@ -132,17 +136,18 @@ class TypedBackend:
             if seg.kind == "index" or seg.value.isdigit():
                 return (lambda x: F.get(x, F.lit(int(seg.value)))), dtype.elementType, False
         elif isinstance(dtype, T.VariantType):
-            step = _variant_step(seg)
+            step = _variant_step(seg, arrays_only)
             return (lambda x: step(F.array(x))), VARIANT, True
         return None
 
 
-def _variant_step(seg: Segment):
+def _variant_step(seg: Segment, arrays_only: bool = False):
     """array<variant> -> array<variant>."""
     as_array = lambda x: F.try_variant_get(x, "$", "array<variant>")
     if seg.kind == "all":
         as_map = lambda x: F.map_values(F.try_variant_get(x, "$", "map<string,variant>"))
-        return lambda cur: F.flatten(F.transform(cur, lambda x: F.coalesce(as_array(x), as_map(x), F.array().cast("array<variant>"))))
+        forms = [as_array] if arrays_only else [as_array, as_map]
+        return lambda cur: F.flatten(F.transform(cur, lambda x: F.coalesce(*[f(x) for f in forms], F.array().cast("array<variant>"))))
     if seg.kind == "index":
         get = lambda x: F.try_variant_get(x, f"$[{seg.value}]", "variant")
     else:
@@ -163,16 +168,17 @@ class VariantBackend:
     def __init__(self, column: str = "entity"):
         self.column = column
 
-    def values(self, path: str) -> Values:
+    def values(self, path: str, arrays_only: bool = False) -> Values:
         current = F.filter(F.array(F.col(self.column)), lambda x: x.isNotNull())
         for seg in parse_path(path):
-            current = _variant_step(seg)(current)
+            current = _variant_step(seg, arrays_only)(current)
         return Values(current, VARIANT, False)
 
 
 # Facts about one value, the same for both backends ------------------------------------------------
 
-_NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
+INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+_NUMBERS = (*INTEGERS, T.FloatType, T.DoubleType, T.DecimalType)
 
 
 def _tag(v: Column) -> Column:
@@ -230,19 +236,35 @@ def as_millis(v: Column, dtype: T.DataType) -> Column:
     return as_number(v, dtype)
 
 
+def exact_integer(v: Column, dtype: T.DataType) -> Column:
+    """The value as BIGINT if it is an integer of that range, else NULL: doubles can't hold all of them."""
+    if isinstance(dtype, T.VariantType):
+        return F.when(_tag(v).rlike(r"^(BIGINT|INT|SMALLINT|TINYINT)"), F.try_variant_get(v, "$", "bigint"))
+    return v.cast("bigint") if isinstance(dtype, INTEGERS) else F.lit(None).cast("bigint")
+
+
 def number_text(x: Column) -> Column:
-    """A DOUBLE as text: whole numbers without a fraction."""
-    whole = (F.floor(x) == x) & (F.abs(x) < 1e15)
-    return F.when(whole, x.cast("bigint").cast("string")).otherwise(x.cast("string"))
+    """A DOUBLE as text: whole numbers without a fraction, and no exponent from 1e-6 to 1e21."""
+    size, bare = F.abs(x), lambda c: F.regexp_replace(c.cast("string"), r"\.?0+$", "")
+    whole = F.when(size < 1e15, x.cast("bigint").cast("string")).otherwise(x.cast("decimal(38,0)").cast("string"))
+    return (
+        F.when((x % 1 == 0) & (size < 1e21), whole)
+        .when((size >= 1e7) & (size < 1e20), bare(x.cast("decimal(38,17)")))
+        .when((size < 1e-3) & (size >= 1e-6), bare(x.cast("decimal(38,30)")))
+        .otherwise(x.cast("string"))
+    )
 
 
 def key_text(v: Column, dtype: T.DataType) -> Column:
     """A value as a grouping or join key: null is `null`, 1 and "1" are equal, objects and arrays are their JSON."""
     if isinstance(dtype, T.VariantType):
         other = F.when(_tag(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(F.to_json(v))
-        return F.when(is_null(v, dtype), "null").otherwise(F.coalesce(number_text(as_number(v, dtype)), other))
+        number = F.coalesce(exact_integer(v, dtype).cast("string"), number_text(as_number(v, dtype)))
+        return F.when(is_null(v, dtype), "null").otherwise(F.coalesce(number, other))
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
         text = number_text(v.cast("double"))
+    elif isinstance(dtype, T.DecimalType) and dtype.scale > 0:
+        text = F.regexp_replace(v.cast("string"), r"\.?0+$", "")
     elif isinstance(dtype, (T.StructType, T.ArrayType, T.MapType)):
         text = F.to_json(v)
     else:

@@ -175,15 +175,19 @@ class Dataset:
         )
 
     def sample(self, k: int = 3, path: str | None = None, entity_type: str | None = None, seed: int = 0) -> DataFrame:
-        """k rows drawn uniformly by a seeded hash; the same seed draws the same rows."""
+        """k rows drawn uniformly by a seeded hash; the same seed draws the same rows. In `path` a wildcard stands for elements of arrays alone."""
         rows = self if entity_type is None else type(self)(self.df.filter(self.is_type(entity_type)), self.backend, self.order)
-        key = F.xxhash64(*[F.col(c) for c in self.order], F.lit(seed)) if self.order else F.xxhash64(F.to_json(F.struct("*")), F.lit(seed))
+        key = F.xxhash64(*[F.col(c) for c in self.order], F.lit(seed)) if self.order else F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in self.df.columns])), F.lit(seed))
         picked = rows.df.orderBy(key).limit(k)
         if path is None:
             return picked.select(*rows.selected(None))
-        values = rows.values(path)
+        values = rows.backend.values(path, arrays_only=True)
         kept = values.array()
-        return picked.select(F.when(F.size(kept) == 1, F.to_json(F.get(kept, F.lit(0)))).otherwise(F.to_json(kept)).alias("value") if not values.single else values.column.alias("value"))
+        if values.single:
+            return picked.select(values.column.alias("value"))
+        only = F.get(kept, F.lit(0))
+        nested = isinstance(values.dtype, (T.StructType, T.ArrayType, T.MapType, T.VariantType))
+        return picked.select(F.when(F.size(kept) == 1, F.to_json(only) if nested else only.cast("string")).otherwise(F.to_json(kept)).alias("value"))
 
     def is_type(self, name: str) -> Column:
         """Whether entityId starts with `name:`, or, where that is no text, $type contains the name."""

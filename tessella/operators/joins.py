@@ -77,15 +77,20 @@ class _Sides:
 
 
 def joined_rows(left: Dataset, right: Dataset, left_key: str, right_key: str, filter: Filter = None, how: str = "inner", explode_right: bool = False) -> tuple[DataFrame, _Sides]:
-    """Rows (a, b): every left key value meets the first key value of right rows, as text; null and missing keys never meet."""
+    """Rows (a, b): every left key value meets the first key value of right rows, as text (integers of one type as such); null and missing keys never meet."""
     lv, rv = left.values(left_key), right.values(right_key)
 
+    # equal integer types are compared as such: narrower than text, and pruned by buckets and ranges
+    native = lv.single and rv.single and lv.dtype == rv.dtype and isinstance(lv.dtype, paths.INTEGERS)
+
     def keyed(data: Dataset, values: Values, name: str, all_values: bool) -> DataFrame:
         real = lambda v: ~F.coalesce(paths.is_null(v, values.dtype), F.lit(True))
         row = F.struct("*").alias(name)
         if values.single or not all_values:
             first = values.first()
-            return data.df.select(row, F.when(real(first), paths.key_text(first, values.dtype)).alias("key")).filter("key is not null") if how == "inner" else data.df.select(row, F.when(real(first), paths.key_text(first, values.dtype)).alias("key"))
+            key = first if native else F.when(real(first), paths.key_text(first, values.dtype))
+            rows = data.df.select(row, key.alias("key"))
+            return rows.filter("key is not null") if how == "inner" else rows
         keys = F.transform(F.filter(values.array(), real), lambda v: paths.key_text(v, values.dtype))
         return data.df.select(row, (F.explode if how == "inner" else F.explode_outer)(keys).alias("key"))
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tessella.functions import paths
+from tessella.functions.keeping import kept, letting_go
 from tessella.functions.paths import VariantBackend
 from tessella.functions.rounding import rounded
 from tessella.operators.dataset import Dataset
@@ -15,14 +16,11 @@ from tessella.sources import json_files
 
 #: Levels that ids and schemas are looked for in.
 ID_LEVELS = 20
-#: Names of id fields, form of typed ids, and the forms of text that are named.
+#: Names of id fields, form of typed ids, the forms of text that are named, and of id values.
 ID_NAMES = (r"Id$", r"Ids$", r"id$", r"ids$", r"(?i)entityId", r"(?i)^id$")
 TYPED_ID = r"^[A-Z][a-zA-Z]+:[0-9A-Fa-f]+$"
-TEXT_FORMS = (
-    ("Prefix:xxx", r"^[A-Z][a-zA-Z]+:[0-9A-Fa-f]+$"),
-    ("ISO date", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}"),
-    ("GUID", r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"),
-)
+PREFIXED, DATE_TEXT, GUID = r"^[A-Za-z]+:[A-Za-z0-9]+$", r"^\d{4}-\d{2}-\d{2}", r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+LONG_HEX, DIGITS = r"^[0-9A-Fa-f]{16,}$", r"^\d+$"
 KEY_FIELD = re.compile(r"Id$|Ids$|^id$|^entityId$", re.I)
 METRIC_NAMES = ("History", "Stats", "createdAt", "updatedAt", "timestamp", "count", "total")
 
@@ -91,7 +89,7 @@ def _levels(df: DataFrame, column: str, levels: int):
     """Frames (path, name, v) of all variants in the rows, level by level; stops at the first empty one."""
     now = df.select(F.lit("").alias("path"), F.lit("").alias("name"), F.col(column).alias("v")).filter("v is not null")
     for _ in range(levels + 1):
-        now = now.cache()
+        now = kept(now)
         if now.isEmpty():
             return
         yield now
@@ -124,17 +122,23 @@ def id_values(data: Dataset) -> DataFrame:
     return df.distinct()
 
 
-def value_form(values: list[str]) -> str:
-    """What a few id values look like."""
-    few = values[:10]
-    if few and all(re.match(r"^[A-Z][a-zA-Z]+:", v) for v in few):
-        kinds = {v.split(":", 1)[0] for v in few}
-        return f"{kinds.pop()}:*" if len(kinds) == 1 else "EntityId:*"
-    if few and all(re.match(r"^[0-9A-Fa-f]{16,}$", v) for v in few):
-        return "hex-id"
-    if few and all(re.match(r"^\d+$", v) for v in few):
-        return "numeric-id"
-    return "unknown"
+def id_fields(data: Dataset, ids: DataFrame | None = None) -> DataFrame:
+    """(path, n, form) of the id fields: their distinct values, and what all of those look like.
+
+    form is `Kind:*` if all values are typed ids of one kind, `EntityId:*` if of
+    several, `hex-id` for 16 hex digits or more, `numeric-id`, or NULL.
+    """
+    value, kind = F.col("value"), F.substring_index("value", ":", 1)
+    every = lambda pattern: F.bool_and(value.rlike(pattern))
+    one = F.min(kind) == F.max(kind)
+    typed = F.when(one, F.concat(F.min(kind), F.lit(":*"))).otherwise("EntityId:*")
+    form = F.when(every(TYPED_ID), typed).when(every(LONG_HEX), "hex-id").when(every(DIGITS), "numeric-id")
+    return (id_values(data) if ids is None else ids).groupBy("path").agg(F.count("*").alias("n"), form.alias("form"))
+
+
+def text_form(text: Column) -> Column:
+    """What a text looks like: its own prefix with `:xxx`, ISO date, GUID, or NULL."""
+    return F.when(text.rlike(PREFIXED), F.concat(F.substring_index(text, ":", 1), F.lit(":xxx"))).when(text.rlike(DATE_TEXT), "ISO date").when(text.rlike(GUID), "GUID")
 
 
 def find_relationships(left: Dataset, right: Dataset, min_coverage: float = 50, ids: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
@@ -148,12 +152,16 @@ def find_relationships(left: Dataset, right: Dataset, min_coverage: float = 50,
     lefts = a.groupBy("left_path").agg(F.count("*").alias("left_count"))
     rights = b.groupBy("right_path").agg(F.count("*").alias("right_count"))
     # one row per path on either side
-    out = matched.join(lefts, "left_path").join(rights, "right_path").withColumn("coverage", F.col("matched") / F.col("left_count") * 100)
+    return _related(matched.join(lefts, "left_path").join(rights, "right_path"), min_coverage).orderBy(F.desc("coverage"), "left_path", "right_path")
+
+
+def _related(pairs: DataFrame, min_coverage: float) -> DataFrame:
+    """Pairs of paths with their coverage, if it is enough, and kind."""
     many_left, many_right = F.contains(F.col("left_path"), F.lit("[*]")), F.contains(F.col("right_path"), F.lit("[*]"))
     kind = (
         F.when(many_left & many_right, "many-to-many").when(many_left, "one-to-many").when(many_right, "many-to-one").when(F.col("left_count") == F.col("right_count"), "one-to-one").otherwise("many-to-one")
     )
-    return out.filter(F.col("coverage") >= min_coverage).withColumn("kind", kind).orderBy(F.desc("coverage"), "left_path", "right_path")
+    return pairs.withColumn("coverage", F.col("matched") / F.col("left_count") * 100).filter(F.col("coverage") >= min_coverage).withColumn("kind", kind)
 
 
 # Schema ---------------------------------------------------------------------------------------------
@@ -199,9 +207,7 @@ def profile(data: Dataset, max_depth: int = 10, max_examples: int = 3) -> DataFr
     """
     column = data.backend.column if isinstance(data.backend, VariantBackend) else "entity"
     rows = data.df if isinstance(data.backend, VariantBackend) else data.df.select(F.to_variant_object(F.struct("*")).alias("entity"))
-    out, pattern = None, F.lit(None).cast("string")
-    for name, form in reversed(TEXT_FORMS):
-        pattern = F.when(F.col("text").rlike(form), name).otherwise(pattern)
+    out, pattern = None, text_form(F.col("text"))
     for level in _levels(rows, column, max_depth):
         v = F.col("v")
         size, fields = F.size(F.try_variant_get(v, "$", "array<variant>")), F.try_variant_get(v, "$", "map<string,variant>")
@@ -301,26 +307,30 @@ def suggestions(files: list[FileDescription], relationships: list[dict]) -> list
     return list(dict.fromkeys(out))[:5]
 
 
+def all_relationships(ids: DataFrame, min_coverage: float = 50) -> DataFrame:
+    """The relationships between all files in `ids` (file, path, value), by one join on the value: as `find_relationships`, with left_file and right_file."""
+    counts = kept(ids.groupBy("file", "path").agg(F.count("*").alias("n")))
+    left, right = (ids.select(F.col("file").alias(f"{s}_file"), F.col("path").alias(f"{s}_path"), "value") for s in ("left", "right"))
+    pairs = left.join(right, "value").filter("left_file < right_file").groupBy("left_file", "left_path", "right_file", "right_path").agg(F.count("*").alias("matched"))
+    for s in ("left", "right"):
+        pairs = pairs.join(counts.toDF(f"{s}_file", f"{s}_path", f"{s}_count"), [f"{s}_file", f"{s}_path"])
+    return _related(pairs, min_coverage).orderBy("left_file", "right_file", F.desc("coverage"), "left_path", "right_path")
+
+
 def describe_dataset(spark: SparkSession, directory: str, min_coverage: float = 50) -> DatasetDescription:
     """Every JSON file of a directory, with the relationships between them; each file is parsed once."""
-    files, ids, kept = [], {}, []
-    for f in json_files.find_json_files(spark, directory):
-        about = FileDescription(f.name, rounded(f.megabytes, 2))
-        try:
-            data = Dataset.variants(json_files.read_entities(spark, f.path)).cache()
-            kept.append(data.df)
-            about.count = data.count().first()["total"]
-            about.entity_type, about.key_fields, about.sample_values, about.metrics = metadata(infer_schema(data))
-            ids[f.name] = (data, id_values(data).cache())
-            kept.append(ids[f.name][1])
-        except Exception as e:  # an unreadable file is described as empty
-            about.error = str(e).splitlines()[0]
-        files.append(about)
-    found, names = [], list(ids)
-    for i, a in enumerate(names):
-        for b in names[i + 1 :]:
-            rows = find_relationships(ids[a][0], ids[b][0], min_coverage, (ids[a][1], ids[b][1])).collect()
-            found += [r.asDict() | {"left_file": a, "right_file": b} for r in rows]
-    for df in kept:
-        df.unpersist()
+    files, ids = [], None
+    with letting_go():
+        for f in json_files.find_json_files(spark, directory):
+            about = FileDescription(f.name, rounded(f.megabytes, 2))
+            try:
+                data = Dataset.variants(kept(json_files.read_entities(spark, f.path)))
+                about.count = data.count().first()["total"]
+                about.entity_type, about.key_fields, about.sample_values, about.metrics = metadata(infer_schema(data))
+                own = id_values(data).select(F.lit(f.name).alias("file"), "path", "value")
+                ids = own if ids is None else ids.union(own)
+            except Exception as e:  # an unreadable file is described as empty
+                about.error = str(e).splitlines()[0]
+            files.append(about)
+        found = [] if ids is None else [r.asDict() for r in all_relationships(kept(ids), min_coverage).collect()]
     return DatasetDescription(directory, files, found, suggestions(files, found))

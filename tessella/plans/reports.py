@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tessella.functions import paths
 from tessella.functions.aggregates import DAY_MS
+from tessella.functions.keeping import kept, letting_go
 from tessella.functions.rounding import rounded
 from tessella.operators.dataset import Dataset
 from tessella.plans import discovery
@@ -115,10 +116,10 @@ def schema_summary(spark: SparkSession, directory: str) -> list[dict]:
     for f in json_files.find_json_files(spark, directory):
         row: dict = {"file": f.name, "sizeMb": rounded(f.megabytes, 2), "entities": 0, "schema": "", "error": None}
         try:
-            data = Dataset.variants(json_files.read_entities(spark, f.path)).cache()
-            row["entities"] = data.count().first()["total"]
-            row["schema"] = schema_yaml(discovery.infer_schema(data, max_depth=3, max_examples=2))
-            data.df.unpersist()
+            with letting_go():
+                data = Dataset.variants(kept(json_files.read_entities(spark, f.path)))
+                row["entities"] = data.count().first()["total"]
+                row["schema"] = schema_yaml(discovery.infer_schema(data, max_depth=3, max_examples=2))
         except Exception as e:  # an unreadable file is part of the summary
             row["error"] = str(e).splitlines()[0]
         out.append(row)
@@ -129,12 +130,13 @@ def deep_max(data: Dataset, below: str, name: str) -> DataFrame:
     """(pos, most): the greatest number in a field of that name anywhere below a path, NULL if there is none."""
     start = data.df.select("pos", F.get(data.values(below).array(), F.lit(0)).alias("v"))
     found, now = None, start
-    for _ in range(discovery.ID_LEVELS):
+    while True:  # a level at a time, to the deepest
         entries = F.map_entries(F.try_variant_get("v", "$", "map<string,variant>"))
         items = F.transform(F.try_variant_get("v", "$", "array<variant>"), lambda x: F.struct(F.lit("").alias("key"), x.alias("value")))
         empty = F.array().cast("array<struct<key:string,value:variant>>")
         now = now.select("pos", F.inline(F.concat(F.coalesce(entries, empty), F.coalesce(items, empty))))
-        now = now.select("pos", F.col("key"), F.col("value").alias("v")).cache()
+        now = now.select("pos", F.col("key"), F.col("value").alias("v"))
+        now = kept(now)
         if now.isEmpty():
             break
         hits = now.filter(F.col("key") == name).select("pos", paths.as_number(F.col("v"), paths.VARIANT).alias("x"))
@@ -149,7 +151,8 @@ def average_level(spark: SparkSession, directory: str, name: str = "itemLevel")
     chars = entities(spark, directory, CHARACTERS_FILE, CHARACTER)
     if not chars:
         return {"characters": 0, "average": 0.0, "levels": {}}
-    rows = deep_max(chars, "payload", name).groupBy(F.coalesce("most", F.lit(0.0)).alias("level")).count().collect()
+    with letting_go():
+        rows = deep_max(chars, "payload", name).groupBy(F.coalesce("most", F.lit(0.0)).alias("level")).count().collect()
     n = sum(r["count"] for r in rows)
     return {"characters": n, "average": sum(r["level"] * r["count"] for r in rows) / n if n else 0.0, "levels": {r["level"]: r["count"] for r in sorted(rows, key=lambda r: r["level"])}}
 

@@ -10,7 +10,6 @@ from tessella.functions import paths
 from tessella.functions.aggregates import retained
 from tessella.operators.dataset import Dataset
 from tessella.plans import discovery
-from tessella.symbols import graph
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -147,12 +146,13 @@ def q16_count_if(spark, d):
 
 
 @query(
-    """WITH u AS (SELECT user_id, count(*) n, min(ts) lo, max(ts) hi FROM events WHERE event_type = 'signup' AND ts < TIMESTAMP '2024-01-09' GROUP BY 1)
-    SELECT CAST(user_id % 5 AS VARCHAR) AS key, count(*) AS users, count(*) FILTER (WHERE n > 1 AND hi - lo >= INTERVAL 1 DAY) AS d1, count(*) FILTER (WHERE n > 1 AND hi - lo >= INTERVAL 7 DAY) AS d7 FROM u GROUP BY 1"""
+    """WITH u AS (SELECT user_id, count(*) n, min(ts) lo, max(ts) hi FROM events WHERE event_type = 'signup' GROUP BY 1)
+    SELECT CAST(user_id % 5 AS VARCHAR) AS key, count(*) AS users, count(*) FILTER (WHERE n > 1 AND epoch_ms(hi) - epoch_ms(lo) >= 86400000) AS d1, count(*) FILTER (WHERE n > 1 AND epoch_ms(hi) - epoch_ms(lo) >= 7 * 86400000) AS d7 FROM u GROUP BY 1"""
 )
 def q17_retention(spark, d):
-    """Retention over a time prefix of the table, as the SQL has it: signups before 2024-01-09; later ones are not looked at."""
-    logins = table(spark, d, "events").filter("event_type = 'signup' and ts < timestamp '2024-01-09'").groupBy("user_id").agg(F.collect_list("ts").alias("logins"))
+    """Retention of all who signed up, by their first and last time."""
+    ends = F.when(F.count("*") > 1, F.array(F.min("ts"), F.max("ts"))).otherwise(F.array(F.min("ts")))
+    logins = table(spark, d, "events").filter("event_type = 'signup'").groupBy("user_id").agg(ends.alias("logins"))
     users = Dataset.table(logins.withColumn("cohort", F.col("user_id") % 5))
     found = users.values("logins")
     return users.df.groupBy(paths.key_text(F.col("cohort"), users.df.schema["cohort"].dataType).alias("key")).agg(
@@ -202,114 +202,6 @@ def q22_sample(spark, d):
     return data(spark, d, "customer", ["c_custkey"]).sample(25, seed=7)
 
 
-@query(
-    """WITH r AS (SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)
-    SELECT count(*) AS players, min(n) AS least, max(n) AS most, CAST(avg(n) AS DECIMAL(18,2)) AS mean FROM r"""
-)
-def q23_kpis(spark, d):
-    roster = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.collect_list("o_orderkey").alias("ids"))
-    players = Dataset.table(table(spark, d, "customer").join(roster, "c_custkey", "left"))
-    n = F.size(players.values("ids[*]").array())
-    return players.df.agg(F.count("*").alias("players"), F.min(n).cast("bigint").alias("least"), F.max(n).cast("bigint").alias("most"), F.avg(n).cast("decimal(18,2)").alias("mean"))
-
-
-@query(
-    """WITH s AS (SELECT user_id, min(ts) lo, max(ts) hi FROM events WHERE ts < TIMESTAMP '2024-01-09' GROUP BY 1), c AS (SELECT DISTINCT user_id, event_type FROM events WHERE ts < TIMESTAMP '2024-01-03')
-    SELECT event_type AS class, count(*) AS total, count(*) FILTER (WHERE hi - lo < INTERVAL 1 DAY) AS new, count(*) FILTER (WHERE hi - lo >= INTERVAL 1 DAY) AS returning,
-    count(*) FILTER (WHERE hi - lo >= INTERVAL 1 DAY) AS d1, count(*) FILTER (WHERE hi - lo >= INTERVAL 3 DAY) AS d3, count(*) FILTER (WHERE hi - lo >= INTERVAL 7 DAY) AS d7
-    FROM c JOIN s USING (user_id) GROUP BY 1"""
-)
-def q24_retention_by_class(spark, d):
-    """Retention over a time prefix of the table, as the SQL has it: events before 2024-01-09 and classes met before 2024-01-03; later ones are not looked at."""
-    from tessella.plans.reports import DAY_MS, _retention
-
-    events = table(spark, d, "events")
-    span = (F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / (DAY_MS * 1000)
-    spans = events.filter("ts < timestamp '2024-01-09'").groupBy("user_id").agg(span.alias("span"))
-    classes = events.filter("ts < timestamp '2024-01-03'").select("user_id", F.col("event_type").alias("class")).distinct()
-    return _retention(spans.join(classes, "user_id"), ["class"])
-
-
-@query(
-    """SELECT CAST(p_size AS VARCHAR) AS level, count(*) AS n, CAST(p_size = (SELECT max(p_size) FROM part) AS INTEGER) AS is_max,
-    CAST((SELECT avg(p_size) FROM part) AS DECIMAL(18,2)) AS mean FROM part GROUP BY p_size"""
-)
-def q25_progression(spark, d):
-    part = data(spark, d, "part")
-    levels = part.group_by("p_size", sort=None).withColumnsRenamed({"key": "level", "count": "n"})
-    stats = part.stats("p_size").select(F.col("max").alias("most"), F.col("avg").cast("decimal(18,2)").alias("mean"))
-    return levels.crossJoin(F.broadcast(stats)).select("level", "n", (F.col("level").cast("double") == F.col("most")).cast("int").alias("is_max"), "mean")  # stats: one row
-
-
-def _part_symbols(spark: SparkSession, d: str) -> DataFrame:
-    """Parts as symbols: brand as namespace, type as kind, a file for each size."""
-    return table(spark, d, "part").select(
-        F.concat(F.lit("size/"), F.col("p_size").cast("string")).alias("relativePath"), F.col("p_partkey").cast("int").alias("at"), F.col("p_name").alias("name"), F.col("p_type").alias("kind"),
-        F.col("p_brand").alias("namespace"), F.col("p_partkey").cast("int").alias("line"), F.array("p_type").alias("bases"), F.array().cast("array<string>").alias("attributes"),
-        F.lit(None).cast("array<struct<name:string,kind:string,line:int,signature:string,modifiers:array<string>,attributes:array<string>,isUnityMessage:boolean>>").alias("members"),
-    )
-
-
-def _part_kb(spark: SparkSession, d: str):
-    from tessella.symbols.store import KnowledgeBase
-
-    class Parts(KnowledgeBase):
-        symbols = _part_symbols(spark, d)
-
-    return Parts(spark, spark.createDataFrame([], "relativePath string, symbols array<struct<name:string>>"))
-
-
-@query(
-    "SELECT p_name AS symbol, p_type AS kind, p_brand AS namespace, 'size/' || CAST(p_size AS VARCHAR) AS file, CAST(p_partkey AS INTEGER) AS line, 'name' AS match "
-    "FROM part WHERE lower(p_name) LIKE '%idg%'"
-)
-def q26_search(spark, d):
-    from tessella.symbols.search import search
-
-    return search(_part_kb(spark, d), "IDG", limit=None)
-
-
-@query(
-    "SELECT p_name AS symbol, p_type AS kind, p_brand AS namespace, 'size/' || CAST(p_size AS VARCHAR) AS file, CAST(p_partkey AS INTEGER) AS line, 0 AS \"memberCount\" "
-    "FROM part WHERE starts_with(p_brand, 'Brand#2') AND contains(p_type, 'A')"
-)
-def q27_find(spark, d):
-    from tessella.symbols.search import find
-
-    return find(_part_kb(spark, d), namespace="Brand#2", base="A", limit=None).drop("bases")
-
-
-@query(
-    """WITH RECURSIVE e AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem UNION SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey FROM lineitem),
-    r(node, depth) AS (SELECT 'p1', 0 UNION SELECT dst, depth + 1 FROM r JOIN e ON src = node WHERE depth < 2) SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY 1"""
-)
-def q28_deps(spark, d):
-    items = table(spark, d, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst")).distinct()
-    edges = items.union(items.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return graph.expand(edges, spark.createDataFrame([("p1",)], "node string"), 2)
-
-
-@query(
-    """SELECT doc_id, CAST(score AS INTEGER) AS score FROM (SELECT doc_id, (CASE WHEN lower(text) = 'license' THEN 10 WHEN contains(lower(text), 'license') THEN 5 ELSE 0 END)
-    + (CASE WHEN lower(text) = 'released' THEN 10 WHEN contains(lower(text), 'released') THEN 5 ELSE 0 END) + (CASE WHEN contains(lower(source), 'license') THEN 2 ELSE 0 END)
-    + (CASE WHEN contains(lower(source), 'released') THEN 2 ELSE 0 END) AS score FROM documents) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 10"""
-)
-def q29_relevance(spark, d):
-    """The ten documents most relevant to a task; the limit is the feature."""
-    from tessella.symbols.ranking import TASK_WORDS, score_symbols, words_of
-
-    docs = table(spark, d, "documents").select(F.col("source").alias("namespace"), F.col("doc_id").alias("at"), F.lit("").alias("relativePath"), F.col("text").alias("name"), F.lit(None).cast("array<struct<name:string>>").alias("members"))
-    found = score_symbols(docs, words_of("add the license released", TASK_WORDS, 3))
-    return found.select(F.col("at").alias("doc_id"), "score").orderBy(F.desc("score"), "doc_id").limit(10)
-
-
-@query("SELECT r_name AS key, count(*) AS count FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1 ORDER BY count DESC, key LIMIT 10")
-def q30_stats_top(spark, d):
-    """The ten largest groups; the limit is the feature."""
-    groups, _ = data(spark, d, "nation").aggregate_join(data(spark, d, "region"), group_by="b.r_name", aggregate={"count": "COUNT(*)"}, left_key="n_regionkey", right_key="r_regionkey")
-    return groups.orderBy(F.desc("count"), "key").limit(10)
-
-
 @query("SELECT count(*) AS total, (SELECT count(*) FROM events) AS scanned FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) <> 7")
 def q31_not_equal_variant(spark, d):
     return Dataset.json_text(table(spark, d, "events").select("props"), "props").count("k != 7")
@@ -338,16 +230,9 @@ def q35_length(spark, d):
     return _nested_orders(spark, d).query(["o_orderkey", "lines.length"], "lines.length >= 7", limit=None).rows
 
 
-@query("SELECT coalesce(lang, '(global)') AS namespace, count(*) AS count FROM documents GROUP BY 1")
-def q36_namespace_stats(spark, d):
-    from tessella.symbols.search import namespace_counts
-
-    class Docs:
-        symbols = table(spark, d, "documents").select(F.col("lang").alias("namespace"))
-
-    return namespace_counts(Docs)
-
-
 @query("SELECT s_name, n_name FROM supplier JOIN nation ON CAST(s_nationkey AS VARCHAR) = CAST(n_nationkey AS VARCHAR) ORDER BY s_suppkey, n_nationkey LIMIT 50")
 def q37_join_limit(spark, d):
     return data(spark, d, "supplier", ["s_suppkey"]).join(data(spark, d, "nation", ["n_nationkey"]), left_key="s_nationkey", right_key="n_nationkey", select=["a.s_name", "b.n_name"], limit=50).rows
+
+
+from tessella import input_queries  # noqa: E402, F401  registers the queries over files

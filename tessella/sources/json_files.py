@@ -44,24 +44,40 @@ def validate_file(spark: SparkSession, path: str) -> str:
     return path
 
 
+#: Bytes of a document whose rows make one partition.
+PART_BYTES = 32 << 20
+
+
+def _parts(spark: SparkSession, path: str) -> int:
+    p, fs = _local(spark, path)
+    return -(-fs.getContentSummary(p).getLength() // PART_BYTES)
+
+
 def read_entities(spark: SparkSession, path: str, root: str = "entities", partitions: int | None = None) -> DataFrame:
     """(pos, entity): one row per element of the array at `root`; a file without it has no rows, another type there fails.
 
     Each element is a VARIANT of its own, since one VARIANT of a whole large file
     exceeds the size limit. A document can't be split while it is parsed, so its
-    rows are dealt out afterwards; keep a Parquet copy for repeated queries.
+    rows are dealt out afterwards, by default to a partition for each PART_BYTES;
+    keep a Parquet copy for repeated queries.
     """
     name = root.replace("`", "")
     rows = spark.read.schema(f"`{name}` ARRAY<VARIANT>").option("multiLine", True).option("mode", "FAILFAST").json(path)
     out = rows.select(F.posexplode(F.col(f"`{name}`")).alias("pos", "entity")).select(F.col("pos").cast("long"), "entity")
-    return out.repartition(partitions) if partitions else out
+    partitions = partitions or _parts(spark, path)
+    return out.repartition(partitions) if partitions > 1 else out
 
 
 def read_values(spark: SparkSession, path: str) -> DataFrame:
     """(pos, entity) of a file whose document is itself an array, or of a single value."""
-    text = spark.read.option("wholetext", True).text(path).select(F.parse_json("value").alias("v"))
-    items = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v"))
-    return text.select(F.posexplode(items).alias("pos", "entity")).select(F.col("pos").cast("long"), "entity")
+    text = spark.read.text(path, wholetext=True)
+    # each element is a VARIANT of its own; only another kind of document is one as a whole
+    is_array = F.col("value").rlike(r"^\s*\[")
+    elements = F.from_json(F.concat(F.lit('{"v":'), "value", F.lit("}")), "v array<variant>", {"mode": "FAILFAST"})["v"]
+    items = F.when(is_array, elements).otherwise(F.array(F.parse_json(F.when(~is_array, F.col("value")))))
+    out = text.select(F.posexplode(items).alias("pos", "entity")).select(F.col("pos").cast("long"), "entity")
+    partitions = _parts(spark, path)
+    return out.repartition(partitions) if partitions > 1 else out
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tessella.functions.keeping import kept
 from tessella.symbols.store import KnowledgeBase
 
 _REF = "name string, kind string, namespace string, file string, line int, depth int"
@@ -15,11 +16,11 @@ def expand(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     Each level is one join and one anti-join against what was visited, which is
     cached; the loop ends at the first empty level, so cycles end as well.
     """
-    frontier = start.select("node").distinct().withColumn("depth", F.lit(0)).cache()
+    frontier = kept(start.select("node").distinct().withColumn("depth", F.lit(0)))
     visited = frontier
     for level in range(1, depth + 1):
         step = edges.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        frontier = step.join(visited.select("node"), "node", "left_anti").withColumn("depth", F.lit(level)).cache()
+        frontier = kept(step.join(visited.select("node"), "node", "left_anti").withColumn("depth", F.lit(level)))
         if frontier.isEmpty():
             break
         visited = visited.union(frontier)
@@ -43,7 +44,7 @@ def outgoing(kb: KnowledgeBase, symbol: str, depth: int = 1) -> DataFrame:
         hits = symbols.join(types, symbols["name"] == types["type"])
         if level > 1:
             hits = hits.join(visited.select(F.col("node").alias("name")), "name", "left_anti")
-        hits = hits.cache()
+        hits = kept(hits)
         refs = _refs(hits.withColumn("ord", F.struct(F.lit(level), "type_at", "relativePath", "at")), level)
         found = refs if found is None else found.union(refs)
         names = hits.select(F.col("name").alias("node")).distinct().join(visited, "node", "left_anti")
@@ -61,7 +62,7 @@ def incoming(kb: KnowledgeBase, symbol: str, depth: int = 1) -> DataFrame:
         now = kb.edges.join(targets, "type", "left_semi").select("relativePath").distinct()
         if files is not None:
             now = now.join(files, "relativePath", "left_anti")
-        now = now.cache()
+        now = kept(now)
         if now.isEmpty():
             break
         files = now if files is None else files.union(now)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from datetime import datetime, timezone
 from functools import cached_property
 
@@ -68,9 +69,15 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def namespace_rows(file_symbols: DataFrame) -> DataFrame:
+    """(namespace, name, kind, file, line) of each symbol, `_global` for no namespace; a large one is many rows, not one long list."""
+    rows = file_symbols.select("relativePath", F.inline("symbols"))
+    return rows.select(F.coalesce("namespace", F.lit("_global")).alias("namespace"), "name", "kind", F.col("relativePath").alias("file"), "line")
+
+
 def namespaces(file_symbols: DataFrame) -> DataFrame:
-    """(namespace, files, symbols) of each namespace, `_global` for none."""
-    rows = file_symbols.select("relativePath", F.inline("symbols")).withColumn("namespace", F.coalesce("namespace", F.lit("_global")))
+    """(namespace, files, symbols) of each namespace for the JSON layout, which has them as lists."""
+    rows = namespace_rows(file_symbols).withColumn("relativePath", F.col("file")).drop("file")
     return rows.groupBy("namespace").agg(
         F.sort_array(F.collect_set("relativePath")).alias("files"),
         F.sort_array(F.collect_list(F.struct("name", "kind", F.col("relativePath").alias("file"), "line"))).alias("symbols"),
@@ -80,23 +87,37 @@ def namespaces(file_symbols: DataFrame) -> DataFrame:
 def index_project(spark: SparkSession, path: str, name: str, data_dir: str, exclude: list[str] | None = None, extensions: tuple[str, ...] = (".cs",)) -> KnowledgeBase:
     """Scan, extract, and write the tables of a project, in place of what was there."""
     sources = scan_sources(spark, path, extensions, exclude)
-    root = f"{data_dir.rstrip('/')}/{name}"
+    home = f"{data_dir.rstrip('/')}/{name}"
+    root = f"{data_dir.rstrip('/')}/.{name}-{uuid.uuid4().hex}"  # readers see the old tables until all new ones are there
     extractor.extract(sources).write.mode("overwrite").parquet(f"{root}/by-file")
     found = spark.read.schema(FILE_SYMBOLS).parquet(f"{root}/by-file")
     counts = found.select("relativePath", F.size("symbols").alias("symbolCount"))
     manifest = sources.select("path", "relativePath", "size", "lastModified", F.substring(F.sha2("content", 256), 1, 16).alias("hash")).join(counts, "relativePath")
     manifest.select(*FILES.fieldNames()).write.mode("overwrite").parquet(f"{root}/files")
-    namespaces(found).write.mode("overwrite").parquet(f"{root}/by-namespace")
+    namespace_rows(found).repartitionByRange("namespace", "file").write.mode("overwrite").parquet(f"{root}/by-namespace")
     totals = found.agg(F.count("*").cast("int"), F.coalesce(F.sum(F.size("symbols")), F.lit(0)).cast("int")).first()
     now = datetime.now(timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z")
     spark.createDataFrame([(name, path, now, *totals)], META).coalesce(1).write.mode("overwrite").parquet(f"{root}/meta")
+    _swap(spark, root, home)
     return KnowledgeBase.open(spark, data_dir, name)
 
 
+def _swap(spark: SparkSession, new: str, home: str) -> None:
+    """Put a finished folder in the place of an old one, by two renames."""
+    old = f"{new}-old"
+    new_at, home_at, old_at = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (new, home, old))
+    fs = home_at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(home_at):
+        fs.rename(home_at, old_at)
+    if not fs.rename(new_at, home_at):
+        raise OSError(f"could not move {new} to {home}")
+    fs.delete(old_at, True)
+
+
 def list_projects(spark: SparkSession, data_dir: str) -> list[str]:
     p = spark._jvm.org.apache.hadoop.fs.Path(data_dir)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
+    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory() and not s.getPath().getName().startswith(".")) if fs.exists(p) else []
 
 
 class KnowledgeBase:

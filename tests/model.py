@@ -3,29 +3,42 @@
 import re
 from datetime import datetime, timezone
 
-MISSING = object()
+
+def parts(path):
+    """Keys as text, `[*]` as ..., `[n]` as a number."""
+    word, inside = "", False
+    for c in path + ".":
+        if c in ".[]":
+            if word:
+                yield (... if word == "*" else int(word) if word.isdigit() else word) if inside else word
+            word, inside = "", c == "["
+        else:
+            word += c
+
+
+def below(x, part):
+    if isinstance(x, dict):
+        return list(x.values()) if part is ... else [x[part]] if part in x else []
+    if not isinstance(x, list):
+        return []
+    if part == "length":
+        return [len(x)]
+    if part is ...:
+        return x
+    return x[int(part) :][:1] if str(part).isdigit() else []
 
 
 def values(row, path):
-    now = [row]
-    for key, index in re.findall(r"([^.\[\]]+)|\[(\*|\d+)\]", path):
-        out = []
-        for x in now:
-            if x is None or x is MISSING:
-                continue
-            if key:
-                if isinstance(x, dict) and key in x:
-                    out.append(x[key])
-                elif isinstance(x, list) and key == "length":
-                    out.append(len(x))
-                elif isinstance(x, list) and key.isdigit() and int(key) < len(x):
-                    out.append(x[int(key)])
-            elif index == "*":
-                out += x if isinstance(x, list) else list(x.values()) if isinstance(x, dict) else []
-            elif isinstance(x, list) and int(index) < len(x):
-                out.append(x[int(index)])
-        now = out
-    return now
+    """All values at a path; nothing lies below a null."""
+
+    def walk(x, steps):
+        if not steps:
+            yield x
+        elif x is not None:
+            for y in below(x, steps[0]):
+                yield from walk(y, steps[1:])
+
+    return list(walk(row, list(parts(path))))
 
 
 def is_number(x):

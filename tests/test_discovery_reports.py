@@ -28,8 +28,13 @@ def test_relationships(entities):
     found = discovery.find_relationships(left, right).collect()
     assert [(r["left_path"], r["right_path"], r["matched"], r["coverage"], r["kind"]) for r in found] == [("userId", "memberIds[*]", 7, 70.0, "many-to-one")]
     assert not discovery.find_relationships(left, right, 80).collect()
-    assert discovery.value_form(["Player:1", "Player:2"]) == "Player:*" and discovery.value_form(["Ab:1", "Bc:2"]) == "EntityId:*"
-    assert discovery.value_form(["0123456789abcdef"]) == "hex-id" and discovery.value_form(["12"]) == "numeric-id" and discovery.value_form([]) == "unknown"
+
+
+def test_id_forms(spark):
+    ids = {"a": ["Player:1", "Player:2"], "b": ["Ab:1", "Bc:2"], "c": ["0123456789abcdef"], "d": ["12", "345"], "e": ["x", "12"]}
+    rows = spark.createDataFrame([(k, v) for k, vs in ids.items() for v in vs], "path string, value string")
+    got = {r["path"]: (r["n"], r["form"]) for r in discovery.id_fields(None, rows).collect()}
+    assert got == {"a": (2, "Player:*"), "b": (2, "EntityId:*"), "c": (1, "hex-id"), "d": (2, "numeric-id"), "e": (2, None)}
 
 
 def test_schema(entities):
@@ -37,7 +42,7 @@ def test_schema(entities):
     node = discovery.infer_schema(entities(rows))
     assert node.type == "object" and node.clr_type == "Game.Data.Player, Game"
     p = node.properties
-    assert p["id"].pattern == "Prefix:xxx" and not p["id"].optional and p["when"].pattern == "ISO date" and p["when"].optional
+    assert p["id"].pattern == "Player:xxx" and not p["id"].optional and p["when"].pattern == "ISO date" and p["when"].optional
     assert p["list"].array_length == (0, 2) and p["list"].items.properties["b"].optional and not p["list"].items.properties["a"].optional
     text = render.schema_yaml(node)
     assert "list: array[0-2] of object" in text and "  b?: string" in text and "when?" in text

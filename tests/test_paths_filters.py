@@ -87,6 +87,36 @@ def test_typed_and_variant_agree(spark, entities):
         assert typed.stats(path).first() == variant.stats(path).first()
 
 
+def test_big_integers_and_nulls(spark, entities):
+    """Integers beyond 2^53, decimals and nulls mean the same in typed and dynamic rows."""
+    values = [9007199254740992, 9007199254740993, 9007199254740994, -9007199254740993, 1234567890123456, 0, None]
+    variant, typed = entities([{"x": v} for v in values]), Dataset.table(spark.createDataFrame([(v,) for v in values], "x long"))
+    assert typed.df.filter(typed.predicate("x = 9007199254740993")).collect()[0][0] == 9007199254740993
+    for text, n in (("x = 9007199254740993", 1), ("x > 9007199254740992", 2), ("x <= 9007199254740992", 4), ("x != 9007199254740993", 6), ("x != 5", 7), ("x = 1e400", 0), ("x < 99999999999999999999", 6), ("x = 0.5", 0), ("x >= 0x10", 4)):
+        assert typed.count(text).first()["total"] == variant.count(text).first()["total"] == n, text
+    want = {str(v) if v is not None else "null" for v in values}
+    assert {r["key"] for r in typed.group_by("x").collect()} == {r["key"] for r in variant.group_by("x").collect()} == want
+    money = Dataset.table(spark.sql("select cast(x as decimal(20,2)) x from values (1.50), (2.00), (12345678901234567.25) t(x)"))
+    assert {r["key"] for r in money.group_by("x").collect()} == {"1.5", "2", "12345678901234567.25"} and money.count("x >= 2").first()["total"] == 2 and money.count("x = 1.5").first()["total"] == 1
+    doubles = Dataset.table(spark.createDataFrame([(x,) for x in (1e15, 1.234567890123456e15, 1e20, 12345678.5, 0.0005, 1.5e-7, -0.0)], "x double"))
+    assert {r["key"] for r in doubles.group_by("x").collect()} == {"1000000000000000", "1234567890123456", "100000000000000000000", "12345678.5", "0.0005", "1.5E-7", "0"}
+
+
+def test_sampler_wildcards_are_for_arrays(spark, entities):
+    rows = [{"m": {"a": 1}, "l": [{"b": 1}]}]
+    assert [r[0] for r in entities(rows).sample(1, path="m[*]").collect()] == ["[]"] and [r[0] for r in entities(rows).sample(1, path="l[*].b").collect()] == ["1"]
+    typed = Dataset.table(spark.sql("select map('a', 1) m, named_struct('c', 1) s, array(1, 2) l"))
+    assert typed.sample(1, path="m[*]").first()[0] == typed.sample(1, path="s[*]").first()[0] == "[]" and typed.sample(1, path="l[*]").first()[0] == "[1,2]"
+
+
+def test_value_documents(spark, tmp_path):
+    from tessella.sources.json_files import read_values
+
+    for text, want in (("[1, {\"a\": 2}]\n", ["1", '{"a":2}']), ('{"a": [1]}', ['{"a":[1]}']), (" [] ", [])):
+        (tmp_path / "v.json").write_text(text)
+        assert [r[0] for r in read_values(spark, str(tmp_path / "v.json")).select(F.to_json("entity")).collect()] == want
+
+
 def test_filters_reach_the_scan(spark, tmp_path):
     spark.range(100).selectExpr("id", "struct(id * 2 as b, 'x' as c) a", "'z' as unused").write.parquet(str(tmp_path / "t"))
     data = Dataset.table(spark.read.parquet(str(tmp_path / "t")))
