@@ -8,12 +8,14 @@ blocked if the lower posterior bound of its host's bad share exceeds a limit; a
 rule that fits the page decides before that.
 
 Hosts are counted by a combinable aggregate, so a hot host is summed up before
-the shuffle; pages meet reputations in one join on the host, which adaptive
-execution may split.
+the shuffle; pages meet reputations in one join on the host, hot hosts by
+broadcast. User info and port of a host are no part of its name, and an address
+is its own domain and suffix.
 
 Defined cases: a null url or one without :// has empty host and path, which no
 rule fits and whose reputation is its own; outcomes of unknown pages are
-ignored, a page with several outcomes counts once for each; without outcomes
+ignored, a page with several outcomes counts once for each, repeated outcomes and
+pages too; a url of any length is read whole; without outcomes
 nothing is blocked by the method; an empty table gives an empty result.
 """
 
@@ -21,8 +23,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Public suffixes of two labels that are known here; others have one label.
-TWO_LABEL_SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "gov.uk", "org.uk")
+from tessella.llm.common import Workspace, split_join
+
+#: Labels that make a public suffix with a country's label of two letters behind them (`co.uk`, `com.cn`); other suffixes have one label.
+SECOND_LABELS = "ac ad asn co com edu go gob gov govt gub id ind ltd mil ne net nhs nom or org plc police sch".split()
+_TWO_LABELS = r"^(" + "|".join(SECOND_LABELS) + r")\.[a-z]{2}$"
 #: Deviations below the posterior mean that the bound lies, the limit it must exceed, and the prior strengths allowed.
 DEVIATIONS, LIMIT, WEAKEST, STRONGEST = 1.645, 0.5, 2.0, 200.0
 
@@ -38,14 +43,27 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"^[\s\S]*?://[^/?#]*([^?#]*)", 1)
 
 
+def bare(host: Column) -> Column:
+    """A host without user info and port."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+
+
+def _is_address(name: Column) -> Column:
+    return name.rlike(r"^([0-9.]+|\[.*)$")
+
+
 def suffix_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+    """The public suffix of a host name; an address is one of its own."""
+    name = bare(host)
+    two = F.substring_index(name, ".", -2)
+    return F.when(_is_address(name), name).when(two.rlike(_TWO_LABELS), two).otherwise(F.substring_index(name, ".", -1))
 
 
 def domain_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+    """The label before the suffix, with the suffix; an address is one of its own."""
+    name = bare(host)
+    two = F.substring_index(name, ".", -2)
+    return F.when(_is_address(name), name).when(two.rlike(_TWO_LABELS), F.substring_index(name, ".", -3)).otherwise(two)
 
 
 def _fits(rule: Rule, host: Column, path: Column) -> Column:
@@ -95,7 +113,10 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], id_col: str
     for verdict, host, path in sorted(rules, key=lambda r: len(r[1] + r[2])):
         fits = _fits((verdict, host, path), F.col("host"), F.col("path"))
         rule, decided = F.when(fits, host + path).otherwise(rule), F.when(fits, verdict).otherwise(decided)
-    found = rows.join(reputation(labelled), "host", "left")
+    # reputations are written: a host with outcomes is a row, told by how many pages it has
+    pages_of = rows.groupBy("host").agg(F.count("*").alias("n_rows"))
+    known = Workspace(pages.sparkSession).put(reputation(labelled).join(pages_of, "host"))
+    found = split_join(rows, known, ["host"], pages.count(), "left")
     own = F.when(F.col("bound") > LIMIT, "block").otherwise("allow")
     return found.select(
         "page_id",
@@ -110,12 +131,13 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], id_col: str
 
 def oracle_sql(rules: list[Rule]) -> str:
     """The same for DuckDB, over pages and labels."""
-    two = ", ".join(f"'{x}'" for x in TWO_LABEL_SUFFIXES)
+    two = f"regexp_matches(array_to_string(list_slice(string_split(name, '.'), -2, -1), '.'), '{_TWO_LABELS}')"
     fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
     ordered = sorted(rules, key=lambda r: -len(r[1] + r[2]))
     rule = " ".join(f"WHEN {fits(h, p)} THEN '{h + p}'" for _, h, p in ordered)
     verdict = " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for v, h, p in ordered)
-    tail = lambda n: f"array_to_string(list_slice(string_split(host, '.'), -{n}, -1), '.')"
+    tail = lambda n: f"array_to_string(list_slice(string_split(name, '.'), -{n}, -1), '.')"
+    own = r"regexp_matches(name, '^([0-9.]+|\[.*)$')"
 
     def shrunk(source: str, mean: str, name: str) -> str:
         rho = f"(sum((bad - n * {mean}) ** 2) - sum(n * {mean} * (1 - {mean}))) / sum(n * (n - 1) * {mean} * (1 - {mean}))"
@@ -132,8 +154,9 @@ WITH rows AS (
 hosts0 AS (
   SELECT host, count(*) AS n, CAST(sum(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS BIGINT) AS bad
   FROM labels JOIN rows ON doc_id = page_id WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY host),
-hosts1 AS (SELECT *, CASE WHEN {tail(2)} IN ({two}) THEN {tail(3)} ELSE {tail(2)} END AS domain,
-                  CASE WHEN {tail(2)} IN ({two}) THEN {tail(2)} ELSE {tail(1)} END AS suffix FROM hosts0),
+named AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name FROM hosts0),
+hosts1 AS (SELECT * EXCLUDE (name), CASE WHEN {own} THEN name WHEN {two} THEN {tail(3)} ELSE {tail(2)} END AS domain,
+                  CASE WHEN {own} THEN name WHEN {two} THEN {tail(2)} ELSE {tail(1)} END AS suffix FROM named),
 domains0 AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts1 GROUP BY ALL),
 suffixes0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains0 GROUP BY ALL),
 suffixes1 AS (SELECT suffix, n, bad, (sum(bad) OVER () + 1) / (sum(n) OVER () + 2) AS base FROM suffixes0),
