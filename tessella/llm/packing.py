@@ -34,7 +34,7 @@ from tessella.llm.common import Workspace
 CAPACITY = 4096
 END_ID = 1
 #: Distinct words whose ids a worker remembers.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 
 
 def _fullest(counts: list[int], lengths: list[int], room: int) -> list[int]:
@@ -136,35 +136,37 @@ def _encode(path: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Vocabulary:
-    """Ids of words by their hash, for at most CACHE_WORDS words besides those of the text at hand."""
+    """Ids of words, for at most CACHE_WORDS words besides those of the text at hand."""
 
     def __init__(self, path: str):
-        self.path = path
-        self.hashes, self.begin, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-
-    def look_up(self, hashes: np.ndarray, word) -> tuple[np.ndarray, np.ndarray]:
-        """Begin in `flat` and number of ids of each of the sorted distinct hashes; word(i) is the text of the i-th."""
-        for _ in range(2):
-            at = np.searchsorted(self.hashes, hashes)
-            known = np.zeros(len(hashes), bool)
-            inside = at < len(self.hashes)
-            known[inside] = self.hashes[at[inside]] == hashes[inside]
-            missing = np.flatnonzero(~known)
-            if not len(missing):
-                break
-            if len(self.hashes) and len(self.hashes) + len(missing) > CACHE_WORDS:
+        self.path, self.place = path, {}
+        self.begin, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Begin in `flat` and number of ids of each of the distinct words."""
+        at = np.fromiter((self.place.get(w, -1) for w in words), np.int64, len(words))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            if self.place and len(self.place) + len(missing) > CACHE_WORDS:
                 self.__init__(self.path)
-                continue
-            flat, size = _encode(self.path, [word(i) for i in missing])
-            begin = len(self.flat) + np.cumsum(size) - size
-            self.hashes = np.insert(self.hashes, at[missing], hashes[missing])
-            self.begin, self.size = np.insert(self.begin, at[missing], begin), np.insert(self.size, at[missing], size)
+                return self.look_up(words)
+            flat, size = _encode(self.path, [words[i].decode() for i in missing])
+            at[missing] = np.arange(len(missing)) + len(self.begin)
+            self.place.update(zip((words[i] for i in missing), at[missing].tolist(), strict=True))
+            self.begin, self.size = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size]), np.concatenate([self.size, size])
             self.flat = np.concatenate([self.flat, flat])
-            break
-        at = np.searchsorted(self.hashes, hashes)
         return self.begin[at], self.size[at]
 
 
+def _same(words: textkit.Words, data: np.ndarray, other: np.ndarray) -> bool:
+    """Whether each word has the bytes of the word at `other`."""
+    size = words.stop - words.start
+    if not np.array_equal(size, size[other]):
+        return False
+    inside = textkit.ramp(size)
+    return np.array_equal(data[np.repeat(words.start, size) + inside], data[np.repeat(words.start[other], size) + inside])
+
+
 @lru_cache(maxsize=1)
 def _vocabulary(path: str) -> _Vocabulary:
     return _Vocabulary(path)
@@ -184,8 +186,10 @@ def _pieces(path: str, capacity: int):
             for first, data, offs in textkit.pieces(batch.column("text")):
                 words = textkit.Words(data, offs)
                 raw = data.tobytes()
-                hashes, at, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
-                begin, sizes = vocabulary.look_up(hashes, lambda i, at=at, words=words, raw=raw: raw[words.start[at[i]] : words.stop[at[i]]].decode())
+                _, at, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
+                if not _same(words, data, at[inverse]):  # two words have one hash
+                    at = inverse = np.arange(len(words.hash))
+                begin, sizes = vocabulary.look_up([raw[x:y] for x, y in zip(words.start[at].tolist(), words.stop[at].tolist(), strict=True)])
                 each = sizes[inverse]
                 stream = vocabulary.flat[np.repeat(begin[inverse], each) + textkit.ramp(each)]
                 bounds = np.append(0, np.cumsum(each))[words.first]

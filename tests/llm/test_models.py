@@ -171,6 +171,49 @@ def test_extraction_of_unseen_layouts():
     assert a == b
 
 
+@needs_tables
+def test_extraction_is_what_a_plain_reader_finds(spark):
+    """The pages of the tables have one layout, whose main text stands in `article`: all of them against Python's own parser."""
+    import re
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.blocks, self.parts, self.inside = [], [], False
+
+        def cut(self):
+            text = re.sub(r"\s+", " ", "".join(self.parts)).strip()
+            self.blocks += [text] if text else []
+            self.parts = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "br":
+                self.parts.append(" ")
+            elif tag not in ("a", "b"):
+                self.cut()
+            self.inside |= tag == "article"
+
+        def handle_endtag(self, tag):
+            if tag not in ("a", "b"):
+                self.cut()
+            self.inside &= tag != "article"
+
+        def handle_data(self, text):
+            if self.inside:
+                self.parts.append(text)
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    want = {}
+    for r in pages.collect():
+        reader = Reader()
+        reader.feed(r["html"])
+        reader.close()
+        reader.cut()
+        want[r["page_id"]] = "\n\n".join(reader.blocks)
+    assert {r["page_id"]: r["text"] for r in html_extraction.extract(pages).collect()} == want and all(want.values())
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav><div class="ad">Buy this now.</div>
 <article><h1>Head &amp; line</h1><p><b>One   two\n three<br>four.<p>Caf&eacute; &lt;b&gt; <a href="/x">link</a> text that goes on for a while.</p><!-- no --><ul><li>item one</li></ul></article>
@@ -262,6 +305,24 @@ def test_patterns_are_full():
     assert packing.patterns({}, 10) == []
 
 
+def test_words_of_one_hash_keep_their_ids(monkeypatch, tokenizer):
+    """The words' bytes decide, also if all hashes are equal."""
+    texts = ["one two one", "three", "", "two\tfour"]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array(texts)], names=["doc_id", "text"])
+    (want,) = packing._pieces(tokenizer, 4096)(iter([batch]))
+
+    class Alike(packing.textkit.Words):
+        def __init__(self, *args, **more):
+            super().__init__(*args, **more)
+            self.hash = np.zeros_like(self.hash)
+
+    monkeypatch.setattr(packing.textkit, "Words", Alike)
+    packing._vocabulary.cache_clear()
+    (got,) = packing._pieces(tokenizer, 4096)(iter([batch]))
+    assert got.equals(want)
+    packing._vocabulary.cache_clear()
+
+
 def test_word_cache_is_bounded(monkeypatch, tokenizer):
     monkeypatch.setattr(packing, "CACHE_WORDS", 3)
     packing._vocabulary.cache_clear()
@@ -270,7 +331,7 @@ def test_word_cache_is_bounded(monkeypatch, tokenizer):
         batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], names=["doc_id", "text"])
         (out,) = packing._pieces(tokenizer, 4096)(iter([batch]))
         assert out.column("length").to_pylist() == [n]
-        assert len(packing._vocabulary(tokenizer).hashes) <= 7
+        assert len(packing._vocabulary(tokenizer).place) <= 7
     packing._vocabulary.cache_clear()
 
 

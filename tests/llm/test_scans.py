@@ -230,6 +230,15 @@ def test_url_rules(spark):
     assert url_filter.judge(pages.limit(0), none, URL_RULES).count() == 0
 
 
+def test_url_repeats_and_long_urls(spark):
+    """Each outcome counts, repeated ones too; a repeated page gives repeated rows; a url is read whole."""
+    long = "http://" + "a." * 50_000 + "org/" + "p" * 100_000
+    pages = spark.createDataFrame([(1, "http://bad.org/x"), (1, "http://bad.org/x"), (2, long), (None, "http://bad.org/y"), (3, None)], "page_id long, url string")
+    outcomes = spark.createDataFrame([(1, 1)] * 30 + [(2, 0)] * 20 + [(9, 1), (None, 1), (3, None)], "page_id long, bad int")
+    got = sorted((tuple(r) for r in url_filter.judge(pages, outcomes, []).select("page_id", "verdict", "host_outcomes", "host_bad").collect()), key=repr)
+    assert got == sorted([(1, "block", 60, 60), (1, "block", 60, 60), (2, "allow", 20, 0), (None, "block", 60, 60), (3, "allow", 0, 0)], key=repr)
+
+
 def test_reputation(spark):
     rows = [("bad.example.org", 1)] * 60 + [("good.example.org", 0)] * 60 + [("rare.example.org", 1)] * 2 + [("x.other.co.uk", 0)] * 30 + [("", 0), ("q", None)]
     got = {r["host"]: r for r in url_filter.reputation(spark.createDataFrame(rows, "host string, bad int")).collect()}
@@ -237,6 +246,9 @@ def test_reputation(spark):
     # a rare host is shrunk towards its domain
     assert got["good.example.org"]["mean"] < got["rare.example.org"]["mean"] < 1 and "q" not in got
     found = spark.createDataFrame([("a.b.co.uk",), ("b.co.uk",), ("x.y.org",), ("org",)], "h string").select(url_filter.domain_of(F.col("h")), url_filter.suffix_of(F.col("h"))).collect()
+    names = [("10.0.0.1:80",), ("me@www.a.com.cn:8080",), ("[::1]:9",), ("co.uk",), ("x.github.io",)]
+    named = spark.createDataFrame(names, "h string").select(url_filter.domain_of(F.col("h")), url_filter.suffix_of(F.col("h"))).collect()
+    assert [tuple(r) for r in named] == [("10.0.0.1", "10.0.0.1"), ("a.com.cn", "com.cn"), ("[::1]", "[::1]"), ("co.uk", "co.uk"), ("github.io", "io")]
     assert [tuple(r) for r in found] == [("b.co.uk", "co.uk"), ("b.co.uk", "co.uk"), ("y.org", "org"), ("org", "org")]
 
 
