@@ -13,8 +13,8 @@ one representative first.
 
 Scale: tree keys are made by each document alone; node sizes are combinable
 counts; only nodes of bounded size and bounded total set size are ever gathered
-in one task. A node that cannot be separated within DEPTH levels is first dealt
-into bounded blocks, which join documents that are nearly all alike. Then every
+in one task. A node that keeps STUCK of its documents over STUCK_LEVELS levels, or is
+large after DEPTH levels, is not branched further: it is first dealt into bounded blocks, which join documents that are nearly all alike. Then every
 two of its documents that are still in different components are compared, block
 against block: the members of its largest component, already joined, only meet
 the others, so a node of near copies costs in proportion to its size, and one of
@@ -36,16 +36,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessella.llm import textkit
-from tessella.llm.common import Workspace
+from tessella.llm.common import Workspace, split_join
 from tessella.llm.components import components
 from tessella.llm.textkit import U64
 
 #: Trees, coordinates of the minwise embedding, levels of branching.
 TREES, COORDINATES, DEPTH = 9, 64, 8
+#: A node is no longer branched if it keeps such a share of the documents of the node so many levels above.
+STUCK, STUCK_LEVELS = 0.85, 3
 #: A node with at most so many documents and shingles in all is compared exhaustively.
 NODE_ROWS, NODE_SHINGLES = 2000, 1_000_000
 _SEEDS = textkit.mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15))
 _SIGNED = pa.int64()
+#: Ids that are broadcast at most: 16 MB.
+BROADCAST_IDS = 2_000_000
 #: Deviations below the threshold at which a sketch rules a pair out: at 0.8 with fewer than 33 of 64 places alike, one pair in 13 million at the threshold.
 _SLACK = 6.0
 
@@ -98,7 +102,7 @@ def _sketch(text_at: str, k: int, roots: list[int]):
         for batch in batches:
             n = batch.num_rows
             sizes, digests, bits = np.zeros(n, np.int64), [None] * n, [None] * n
-            keys, signs = np.zeros((n, len(roots)), np.int64), np.zeros((n, COORDINATES), np.int32)
+            keys, signs = np.zeros((n, len(roots)), np.int64), np.zeros((n, COORDINATES), np.int16)
             for i, grams in _sets(batch, text_at, k):
                 sizes[i] = len(grams)
                 if len(grams):
@@ -106,7 +110,7 @@ def _sketch(text_at: str, k: int, roots: list[int]):
                     least = np.array([textkit.mix(grams ^ s).min() for s in seeds])
                     keys[i] = textkit.mix(least ^ (seeds * U64(3))).view(np.int64)
                     tokens = _minwise(grams)
-                    signs[i] = tokens.view(np.int32)
+                    signs[i] = tokens.astype(np.uint16).view(np.int16)  # their low halves tell children apart well enough
                     bits[i] = (tokens & np.uint32(255)).astype(np.uint8).tobytes()
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes), pa.array(digests, pa.binary()), _lists(keys), _lists(signs), pa.array(bits, pa.binary())],
@@ -257,13 +261,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark, work, threshold = docs.sparkSession, Workspace(docs.sparkSession), percent / 100
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     roots = _roots(threshold)
-    sketch = work.put(texts.mapInArrow(_sketch("text", k, roots), "doc_id long, n_shingles long, digest binary, keys array<long>, sign array<int>, bits binary"))
+    sketch = work.put(texts.mapInArrow(_sketch("text", k, roots), "doc_id long, n_shingles long, digest binary, keys array<long>, sign array<short>, bits binary"))
     named = sketch.filter("doc_id is not null and digest is not null")
-    heads = named.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    copies = named.select("doc_id", "digest").join(heads, "digest").filter("doc_id <> rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
+    heads = work.put(named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_rows")))
+    total = sketch.count()
+    copies = split_join(named.select("doc_id", "digest"), heads.filter("n_rows > 1"), ["digest"], total).filter("doc_id <> rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
     # a representative's keys and size; rows that repeat an id with another text stay rows of their own
-    reps = named.join(heads.withColumnRenamed("rep", "doc_id"), ["digest", "doc_id"], "left_semi").dropDuplicates(["doc_id", "digest"]).withColumnRenamed("doc_id", "rep")
-    rows = work.put(_met(reps.select("rep", F.col("n_shingles").alias("n"), F.explode("keys").alias("node")).distinct()))
+    reps = named.join(heads.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["doc_id", "digest"])
+    reps = work.put(reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "keys", "sign", "bits"))
+    rows = work.put(_met(reps.select("rep", "n", F.array().cast("array<long>").alias("past"), F.explode("keys").alias("node")).distinct(), total * len(roots)))
     lists, crowded = [], None
     for level in range(DEPTH + 1):
         small = (F.col("n_rows") <= NODE_ROWS) & (F.col("n_shingles") <= NODE_SHINGLES) | (F.col("n_rows") == 2)
@@ -271,12 +277,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         large = rows.filter(~small)
         if large.isEmpty():
             break
+        # what hardly shrinks are copies of one text: more levels would not part them
+        stuck = F.lit(True) if level == DEPTH else F.coalesce(F.col("n_rows") >= F.get("past", F.lit(STUCK_LEVELS - 1)) * STUCK, F.lit(False))
+        kept = work.put(large.filter(stuck).select("rep", "n", "node", "n_rows", "n_shingles"))
+        if not kept.isEmpty():
+            lists.append(work.put(_listed(kept.select("rep", F.xxhash64("node", F.pmod(F.xxhash64("node", "rep"), _blocks(F.col("n_rows"), F.col("n_shingles"), 1))).alias("node")))))
+            crowded = kept if crowded is None else crowded.union(kept)
         if level == DEPTH:
-            lists.append(work.put(_listed(large.select("rep", F.xxhash64("node", F.pmod(F.xxhash64("node", "rep"), _blocks(F.col("n_rows"), F.col("n_shingles"), 1))).alias("node")))))
-            crowded = large
             break
-        deeper = large.select("rep", "n", "node").join(reps.select("rep", "sign"), "rep").select("rep", "n", F.explode(_children(threshold)).alias("node"))
-        rows = work.put(_met(deeper.distinct()))
+        deeper = large.filter(~stuck).select("rep", "n", "node", F.slice(F.concat(F.array("n_rows"), "past"), 1, STUCK_LEVELS).alias("past")).join(reps.select("rep", "sign"), "rep").select("rep", "n", "past", F.explode(_children(threshold)).alias("node"))
+        above, rows = rows, work.put(_met(deeper.distinct(), 2 * rows.count()))
+        work.drop(above)
     nodes = lists[0]
     for more in lists[1:]:
         nodes = nodes.union(more)
@@ -284,14 +295,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     together = lambda nodes, facts: nodes.distinct().select(F.xxhash64("reps").alias("node"), F.explode("reps").alias("rep")).join(facts, "rep").repartition(n, "node").sortWithinPartitions("node")
 
     def compared(nodes: DataFrame) -> DataFrame:
-        screened = work.put(together(nodes, reps.select("rep", F.col("n_shingles").alias("n"), "bits")).mapInArrow(_screen(percent), "reps array<long>").distinct())
-        candidates = screened.select(F.explode("reps").alias("doc_id")).distinct()
-        full = texts.filter("doc_id is not null").join(candidates, "doc_id", "left_semi").mapInArrow(_full("text", k), "rep long, grams binary").filter("grams is not null")
+        screened = work.put(together(nodes, reps.select("rep", "n", "bits")).mapInArrow(_screen(percent), "reps array<long>").distinct())
+        candidates = work.put(screened.select(F.explode("reps").alias("doc_id")).distinct())
+        met = F.broadcast(candidates) if candidates.count() <= BROADCAST_IDS else candidates  # else the texts are shuffled to them
+        full = texts.filter("doc_id is not null").join(met, "doc_id", "left_semi").mapInArrow(_full("text", k), "rep long, grams binary").filter("grams is not null")
         return together(screened, full).mapInArrow(_compare(percent), "u long, v long")
 
-    edges = compared(nodes)
+    edges = work.put(compared(nodes))
+    for done in lists:
+        work.drop(done)
     if crowded is not None:
-        edges = work.put(edges)
         across = work.put(_across(crowded, components(edges, work), n))
         if not across.isEmpty():
             edges = edges.union(compared(across))
@@ -304,10 +317,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def _met(rows: DataFrame) -> DataFrame:
-    """Rows (rep, n, node) of nodes where at least two representatives meet, with the node's size."""
+def _met(rows: DataFrame, most: int) -> DataFrame:
+    """Rows (rep, n, node, past), `most` at most, of nodes where at least two representatives meet, with the node's size."""
     sizes = rows.groupBy("node").agg(F.count("*").alias("n_rows"), F.sum("n").alias("n_shingles")).filter("n_rows > 1")
-    return rows.join(sizes, "node")
+    return split_join(rows, sizes, ["node"], most)
 
 
 def _listed(rows: DataFrame) -> DataFrame:

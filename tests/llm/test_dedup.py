@@ -78,6 +78,23 @@ def test_near_duplicates_in_a_template_group(frame, writer, monkeypatch):
     assert found == {i: i - i % 2 for i in range(100)} == {i: v[1] for i, v in brute.near_duplicates(rows, 4, 80).items()}
 
 
+def test_recall_by_similarity(frame, writer, monkeypatch):
+    """Pairs from the threshold up, among random texts and among texts that share a template, in nodes that must be branched."""
+    monkeypatch.setattr(near_dedup, "NODE_ROWS", 10)
+    rows, template = [], writer.words(220)
+    for i in range(160):
+        base = template + writer.words(60) if i % 2 else writer.words(280)
+        other = list(base)
+        for _ in range(writer.r.randint(3, 13)):
+            other[writer.r.randrange(len(other))] = writer.words(1)[0]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+    found = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(frame(rows), k=4).collect()}
+    want = {i: v[1] for i, v in brute.near_duplicates(rows, 4, 80).items()}
+    linked = [i for i in want if want[i] != i]
+    assert len(linked) > 60 and sum(found[i] == want[i] for i in linked) >= 0.99 * len(linked)
+    assert all(found[i] in (want[i], i) for i in want)
+
+
 def test_sketches_rule_out_only_what_is_far():
     """A pair at the threshold agrees in 38 of 64 places or fewer once in 8,400 times, in 32 or fewer once in 13 million."""
     import pyarrow as pa
