@@ -171,8 +171,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     past = F.lag("at", 1, -1).over(Window.partitionBy(*_KEY, "n_words").orderBy("at"))
     last = F.greatest(F.col("doc_words") - F.col("n_words"), F.lit(0))
     spots = spots.withColumns({"lo": F.greatest(F.col("at") - F.col("m") + 1, past + 1, F.lit(0)), "hi": F.least(F.col("at"), last)})
-    spots = spots.filter("lo <= hi").groupBy(*_KEY).agg(F.collect_set(F.struct("n_words", "m", "k", "lo", "hi")).alias("spots"))
-    regions = texts.join(spots, list(_KEY)).select(*_KEY, "spots", words(F.col("text")).alias("w")).select(*_KEY, "spots", F.array(*[_runs(F.col("w"), n) for n in sizes]).alias("g"))
+    spots = work.put(spots.filter("lo <= hi").groupBy(*_KEY).agg(F.collect_set(F.struct("n_words", "m", "k", "lo", "hi")).alias("spots")))
+    # few documents share rare shingles with a benchmark; where they are many, the texts are shuffled to them
+    met = F.broadcast(spots) if spots.agg(F.coalesce(F.sum(F.size("spots") + 1), F.lit(0))).first()[0] <= BROADCAST_ROWS else spots
+    regions = texts.join(met, list(_KEY)).select(*_KEY, "spots", words(F.col("text")).alias("w")).select(*_KEY, "spots", F.array(*[_runs(F.col("w"), n) for n in sizes]).alias("g"))
     of = F.element_at(F.col("g"), F.array_position(F.array(*[F.lit(n) for n in sizes]), F.col("s.k")).cast("int"))
     regions = regions.select(*_KEY, "g", F.explode("spots").alias("s")).select(*_KEY, "s.n_words", "s.m", "s.lo", "s.hi", F.slice(of, F.col("s.lo") + 1, F.col("s.hi") - F.col("s.lo") + F.col("s.m")).alias("region"))
     regions = work.put(regions.dropDuplicates([*_KEY, "n_words", "lo"]))
