@@ -286,6 +286,8 @@ def _repeated(texts: DataFrame, work: Workspace, width: int, lengths: list[int])
         small = distinct.join(F.broadcast(hot), "anchor", "left_anti").join(crowded.select("anchor"), "anchor", "left_anti")
         spans = _gathered(small, n).mapInArrow(_matched(width), kinds).unionByName(finer)
     spans = work.put(spans)
+    for done in [distinct, anchors] + ([] if crowded is None else [crowded]):
+        work.drop(done)
     back = split_join(segments.select("anchor", "digest", *_KEY, "a"), spans, ["anchor", "digest"], segments.count())
     each = back.select(*_KEY, "a", F.explode("spans").alias("s")).select(*_KEY, F.struct((F.col("a") + F.col("s.a")).alias("a"), (F.col("a") + F.col("s.b")).alias("b")).alias("span"))
     return each.groupBy(*_KEY).agg(F.collect_set("span").alias("spans"))
