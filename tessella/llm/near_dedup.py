@@ -296,6 +296,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def compared(nodes: DataFrame) -> DataFrame:
         screened = work.put(together(nodes, reps.select("rep", "n", "bits")).mapInArrow(_screen(percent), "reps array<long>").distinct())
+        screened = work.put(_merged(screened, reps.select("rep", "n"), work))
         candidates = work.put(screened.select(F.explode("reps").alias("doc_id")).distinct())
         met = F.broadcast(candidates) if candidates.count() <= BROADCAST_IDS else candidates  # else the texts are shuffled to them
         full = texts.filter("doc_id is not null").join(met, "doc_id", "left_semi").mapInArrow(_full("text", k), "rep long, grams binary").filter("grams is not null")
@@ -323,6 +324,18 @@ def _met(rows: DataFrame, most: int) -> DataFrame:
     return split_join(rows, sizes, ["node"], most)
 
 
+def _merged(lists: DataFrame, sizes: DataFrame, work: Workspace) -> DataFrame:
+    """One list of all representatives that lists connect, where it is of bounded size: their sets are shipped once, not for each tree. Else the lists."""
+    pairs = lists.select(F.element_at("reps", 1).alias("u"), F.explode(F.slice("reps", F.lit(2), F.size("reps"))).alias("v"))
+    found = components(pairs, work)
+    of = found.join(sizes, found["vertex"] == sizes["rep"])
+    bounded = of.groupBy("component").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles")).filter((F.col("rows") <= NODE_ROWS) & (F.col("shingles") <= NODE_SHINGLES))
+    bounded = work.put(bounded.select("component"))
+    whole = found.join(bounded, "component").groupBy("component").agg(F.sort_array(F.collect_set("vertex")).alias("reps")).select("reps")
+    rest = lists.withColumn("vertex", F.element_at("reps", 1)).join(found, "vertex").join(bounded, "component", "left_anti").select("reps")
+    return whole.union(rest)
+
+
 def _listed(rows: DataFrame) -> DataFrame:
     """The distinct lists of representatives of nodes of bounded size."""
     return rows.groupBy("node").agg(F.sort_array(F.collect_set("rep")).alias("reps")).select("reps").distinct()
