@@ -123,7 +123,7 @@ def schema_summary(spark: SparkSession, directory: str) -> list[dict]:
                 row["entities"] = data.count().first()["total"]
                 row["schema"] = schema_yaml(discovery.infer_schema(data, max_depth=3, max_examples=2))
         except Exception as e:  # an unreadable file is part of the summary
-            row["error"] = str(e).splitlines()[0]
+            row["error"] = json_files.blame_file(e)
         out.append(row)
     return out
 

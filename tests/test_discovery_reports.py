@@ -137,3 +137,19 @@ def test_deep_max_without_levels_kept(entities, monkeypatch):
     rows = [{"p": {"x": 2, "y": [{"x": 5}, [{"x": 4}]]}}, {"p": {"y": [7], "x": [8]}}, {"q": 1}, {"p": None}]
     monkeypatch.setattr(reports, "kept", None)
     assert dict(reports.deep_max(entities(rows), "p", "x").collect()) == {0: 5.0, 1: None, 2: None, 3: None}
+
+
+@pytest.mark.parametrize("work", [discovery.describe_dataset, reports.schema_summary])
+def test_lost_executors_are_no_empty_files(spark, tmp_path, monkeypatch, work):
+    write(tmp_path / "a.json", [{"x": 1}])
+
+    def fail(*_):
+        raise RuntimeError(message)
+
+    monkeypatch.setattr("tessella.sources.json_files.read_entities", fail)
+    message = "Job aborted due to stage failure: ExecutorLostFailure (executor 1 exited)"
+    with pytest.raises(RuntimeError):
+        work(spark, str(tmp_path))
+    message = "[FAILED_READ_FILE.NO_HINT] Encountered error while reading file"
+    found = work(spark, str(tmp_path))
+    assert (found[0]["error"] if isinstance(found, list) else found.files[0].error) == message
