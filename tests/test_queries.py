@@ -40,3 +40,14 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 5
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("name", ["q24_retention_by_class", "q55_unprefixed_join_filter", "q54_detected_keys", "q68_recursive_descent", "q69_average_level", "q56_relationship_order", "q61_schema_merge", "q25_progression", "q67_schema_summary"])
+def test_query_over_cut_documents(spark, duck, name, monkeypatch):
+    """The same over documents that are cut into parts of 256 KB."""
+    from tessella import fixtures
+    from tessella.sources import json_split
+
+    monkeypatch.setattr(json_split, "SPLIT_BYTES", 256 << 10)
+    assert json_split.elements(spark, f"{fixtures.game_files(spark, SF)}/chars.json", "entities") is not None
+    test_query(spark, duck, name)
