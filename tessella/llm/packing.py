@@ -19,6 +19,8 @@ repeat an id are packed separately; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,6 +37,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Distinct words whose ids a worker remembers.
 CACHE_WORDS = 1_000_000
+#: Bytes of texts whose words are looked up at once.
+PIECE_BYTES = 1 << 19
 
 
 def _fullest(counts: list[int], lengths: list[int], room: int) -> list[int]:
@@ -104,20 +108,93 @@ def slots(found: list[tuple[int, list[int]]]) -> tuple[np.ndarray, ...]:
 
 @lru_cache(maxsize=1)
 def _tokenizer(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads only add their overhead
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
 
 
+#: The normalizer and pre-tokenizer of tokenizers that part words into runs of letters, single digits and runs of other characters, and ignore case.
+_NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PARTED = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+_LETTER, _DIGIT, _MARK, _ODD = 1, 2, 3, 4
+#: First byte of the letters from U+00C0 to U+00FF, the second of the two signs among them, and of their capitals.
+_LATIN, _SIGNS, _CAPITALS = 0xC3, (0x97, 0xB7), (0x80, 0x9E)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+@lru_cache(maxsize=1)
+def _plain(path: str):
+    """The tokenizer of runs: what `_tokenizer` does after it has normalized and parted words."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    out = Tokenizer(_tokenizer(path).model)
+    out.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return out
+
+
+@lru_cache(maxsize=1)
+def _kinds(path: str) -> np.ndarray | None:
+    """The kind of each byte, 0 outside of words, if the tokenizer parts words into such runs; None if it may not."""
+    with open(path, encoding="utf-8") as file:
+        facts = json.load(file)
+    if facts["normalizer"] != _NORMAL or facts["pre_tokenizer"] != _PARTED or not all(x["content"] for x in facts["added_tokens"]):
+        return None
+    kinds = np.full(256, _ODD, np.uint8)  # what is not ASCII, but for Latin letters, and control characters
+    kinds[33:127] = _MARK
+    kinds[48:58] = _DIGIT
+    kinds[65:91] = kinds[97:123] = _LETTER
+    kinds[ord("'")] = _ODD
+    for token in facts["added_tokens"]:
+        kinds[token["content"].encode()[0]] = _ODD
+    kinds[textkit.SEPARATOR] = 0
+    return kinds
+
+
+def _runs(data: np.ndarray, offs: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, textkit.Words, np.ndarray]:
+    """Bytes in lower case, the runs of letters, digits and other characters in words of ASCII and Latin letters, and which runs are odd: other words, each as it is."""
+    kind, n, lower = kinds[data], len(data), _LOWER[data]
+    latin = np.flatnonzero(data == _LATIN)
+    second = data[latin + 1]
+    kind[latin] = kind[latin + 1] = np.where(np.isin(second, _SIGNS), _ODD, _LETTER)
+    lower[latin[(second >= _CAPITALS[0]) & (second <= _CAPITALS[1])] + 1] += 32
+    row = np.zeros(n + 1, bool)
+    row[offs] = True
+    edge = row.copy()
+    edge[1:n] |= (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    places = np.flatnonzero(edge)
+    start, stop = places[:-1], places[1:]
+    inside = kind[start] != 0
+    start, stop = start[inside], stop[inside]
+    odd = kind[start] == _ODD
+    if odd.any():
+        new = row[start]
+        new[0] = True
+        new[1:] |= start[1:] != stop[:-1]
+        word = np.cumsum(new) - 1
+        odd = (np.bincount(word, odd) > 0)[word]
+        start, stop, odd = start[new | ~odd], stop[np.append(new[1:], True) | ~odd], odd[new | ~odd]
+        size = stop[odd] - start[odd]
+        same = np.repeat(start[odd], size) + textkit.ramp(size)
+        lower[same] = data[same]
+    return lower, textkit.Words(lower, offs, spans=(start, stop)), odd
+
+
 #: A control character that the vocabulary has a token for; it parts words that are tokenised as one text.
 _PARTING = "\x01"
 #: Words that are tokenised as one text.
 _TOGETHER = 512
 
 
-def _encode(path: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _encode(tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all words one after another, and the number of each word's."""
-    tokenizer = _tokenizer(path)
     (parting,) = tokenizer.encode(_PARTING, add_special_tokens=False).ids
     runs = [words[i : i + _TOGETHER] for i in range(0, len(words), _TOGETHER)]
     got = tokenizer.encode_batch_fast([f" {_PARTING} ".join(run) for run in runs], add_special_tokens=False)
@@ -132,7 +209,7 @@ def _encode(path: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         else:
             flat.append(ids[ids != parting])
             sizes.append(np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
-    return np.concatenate(flat), np.concatenate(sizes)
+    return np.concatenate([np.zeros(0, np.uint32), *flat]), np.concatenate([np.zeros(0, np.int64), *sizes])
 
 
 class _Vocabulary:
@@ -142,15 +219,18 @@ class _Vocabulary:
         self.path, self.place = path, {}
         self.begin, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Begin in `flat` and number of ids of each of the distinct words."""
+    def look_up(self, words: list[bytes], odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin in `flat` and number of ids of each of the distinct words; what is not odd is a run."""
         at = np.fromiter((self.place.get(w, -1) for w in words), np.int64, len(words))
         missing = np.flatnonzero(at < 0)
         if len(missing):
             if self.place and len(self.place) + len(missing) > CACHE_WORDS:
                 self.__init__(self.path)
-                return self.look_up(words)
-            flat, size = _encode(self.path, [words[i].decode() for i in missing])
+                return self.look_up(words, odd)
+            missing = np.concatenate([missing[odd[missing]], runs := missing[~odd[missing]]])
+            whole = [words[i].decode() for i in missing]
+            (flat, size), (more, sizes) = _encode(_tokenizer(self.path), whole[: len(whole) - len(runs)]), _encode(_plain(self.path), whole[len(whole) - len(runs) :])
+            flat, size = np.concatenate([flat, more]), np.concatenate([size, sizes])
             at[missing] = np.arange(len(missing)) + len(self.begin)
             self.place.update(zip((words[i] for i in missing), at[missing].tolist(), strict=True))
             self.begin, self.size = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size]), np.concatenate([self.size, size])
@@ -160,11 +240,18 @@ class _Vocabulary:
 
 def _same(words: textkit.Words, data: np.ndarray, other: np.ndarray) -> bool:
     """Whether each word has the bytes of the word at `other`."""
-    size = words.stop - words.start
+    size, begin = words.stop - words.start, words.start[other]
     if not np.array_equal(size, size[other]):
         return False
-    inside = textkit.ramp(size)
-    return np.array_equal(data[np.repeat(words.start, size) + inside], data[np.repeat(words.start[other], size) + inside])
+    padded = np.append(data, np.zeros(8, np.uint8))
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place
+    shift = (8 * (8 - np.minimum(size, 8))).astype(textkit.U64)
+    if not np.array_equal(eight[words.start] << shift, eight[begin] << shift):
+        return False
+    long = np.flatnonzero(size > 8)
+    more = size[long] - 8
+    inside = textkit.ramp(more) + 8
+    return np.array_equal(data[np.repeat(words.start[long], more) + inside], data[np.repeat(begin[long], more) + inside])
 
 
 @lru_cache(maxsize=1)
@@ -176,28 +263,34 @@ def _pieces(path: str, capacity: int):
     """Texts to pieces: the words' ids one after another, the end token, cut at the capacity.
 
     The tokenizer parts text at white space before anything else, so a text's ids
-    are those of its words; equal words are tokenised once.
+    are those of its words; equal words are tokenised once. Where it parts words
+    as `_kinds` knows, the same holds for the runs of a word.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _vocabulary(path)
+        vocabulary, of_bytes = _vocabulary(path), _kinds(path)
         for batch in batches:
             out = {x: [] for x in ("row", "piece", "start", "length", "ids_crc32")}
-            for first, data, offs in textkit.pieces(batch.column("text")):
-                words = textkit.Words(data, offs)
+            for first, data, offs in textkit.pieces(batch.column("text"), PIECE_BYTES):
+                if of_bytes is None:
+                    words = textkit.Words(data, offs)
+                    odd = np.ones(len(words.start), bool)
+                else:
+                    data, words, odd = _runs(data, offs, of_bytes)
                 raw = data.tobytes()
                 _, at, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
                 if not _same(words, data, at[inverse]):  # two words have one hash
                     at = inverse = np.arange(len(words.hash))
-                begin, sizes = vocabulary.look_up([raw[x:y] for x, y in zip(words.start[at].tolist(), words.stop[at].tolist(), strict=True)])
+                begin, sizes = vocabulary.look_up([raw[x:y] for x, y in zip(words.start[at].tolist(), words.stop[at].tolist(), strict=True)], odd[at])
                 each = sizes[inverse]
                 stream = vocabulary.flat[np.repeat(begin[inverse], each) + textkit.ramp(each)]
-                bounds = np.append(0, np.cumsum(each))[words.first]
-                for i in range(len(offs) - 1):
-                    tokens = np.append(stream[bounds[i] : bounds[i + 1]], np.uint32(END_ID)).astype("<u4")
-                    for p, s in enumerate(range(0, len(tokens), capacity)):
-                        part = tokens[s : s + capacity]
-                        for name, value in zip(out, (first + i, p, s, len(part), zlib.crc32(part.tobytes())), strict=True):
+                ends = np.append(0, np.cumsum(each))[words.first[1:]]
+                bounds = np.append(0, ends + np.arange(1, len(offs))).tolist()  # with the end tokens
+                tokens = memoryview(np.insert(stream, ends, np.uint32(END_ID)).astype("<u4").tobytes())
+                for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
+                    for p, s in enumerate(range(0, b - a, capacity)):
+                        length = min(capacity, b - a - s)
+                        for name, value in zip(out, (first + i, p, s, length, zlib.crc32(tokens[4 * (a + s) : 4 * (a + s + length)])), strict=True):
                             out[name].append(value)
             rows = pa.array(out.pop("row"), pa.int64())
             keep = [x for x in batch.schema.names if x != "text"]

@@ -67,9 +67,19 @@ def pieces(column: pa.Array, limit: int = 1 << 18):
 
 
 class Words:
-    """Word starts, ends, rows and hashes of one piece."""
+    """Word starts, ends, rows and hashes of one piece; `spans` are starts and ends if other parts than words are meant."""
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray, fold: bool = False):
+    def __init__(self, data: np.ndarray, offs: np.ndarray, fold: bool = False, spans: tuple[np.ndarray, np.ndarray] | None = None):
+        self.start, self.stop = self._scan(data, offs) if spans is None else spans
+        n = len(data)
+        sums = np.zeros(n + 1, U64)
+        np.cumsum((_FOLDED if fold else _BYTES)[data] * powers(_BASE, n), out=sums[1:])
+        self.hash = mix((sums[self.stop] - sums[self.start]) * powers(_BASE_INV, n + 1)[self.start])
+        # first word of each row, n rows + 1
+        self.first = np.searchsorted(self.start, offs)
+
+    @staticmethod
+    def _scan(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         inside = ~SEPARATOR[data]
         start, stop = inside.copy(), inside.copy()
         if len(data):
@@ -79,14 +89,7 @@ class Words:
             start[firsts] = inside[firsts]
             lasts = offs[1:][offs[:-1] < offs[1:]] - 1
             stop[lasts] = inside[lasts]
-        self.start = np.flatnonzero(start)
-        self.stop = np.flatnonzero(stop) + 1
-        n = len(data)
-        sums = np.zeros(n + 1, U64)
-        np.cumsum((_FOLDED if fold else _BYTES)[data] * powers(_BASE, n), out=sums[1:])
-        self.hash = mix((sums[self.stop] - sums[self.start]) * powers(_BASE_INV, n + 1)[self.start])
-        # first word of each row, n rows + 1
-        self.first = np.searchsorted(self.start, offs)
+        return np.flatnonzero(start), np.flatnonzero(stop) + 1
 
     def spans(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Start word and row of every run of k words that lies in one row."""

@@ -323,6 +323,24 @@ def test_words_of_one_hash_keep_their_ids(monkeypatch, tokenizer):
     packing._vocabulary.cache_clear()
 
 
+def test_runs_have_the_tokenizers_ids(tokenizer):
+    """Words are looked up by their runs of letters, digits and marks, with the ids of whole texts."""
+    from tokenizers import Tokenizer
+
+    packing._vocabulary.cache_clear()
+    parts = ["a", "It", "'S", "l'", "H\u0331", "A\u0301", "\u0130", "\u1e9e", "\u00c0", "\u00de", "\u00df", "\u00ff", "\u00d7", "\u00f7", "\u00b2", "\u00a0", "\u0085", "\u4e2d", "\u00e9\u0301", "7", "42", ".,", "$", "<", "|", "<|ENDOFTEXT|>", "<|endoftext|>", "\x00", "\x01", "\x1c", "\x7f", " ", "\t", "\n", "_", "straSSe"]
+    rng = np.random.default_rng(11)
+    texts = ["".join(parts[i] for i in rng.integers(0, len(parts), n)) for n in rng.integers(0, 30, 600)]
+    (out,) = packing._pieces(tokenizer, 4096)(iter([pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array(texts)], names=["doc_id", "text"])]))
+    want = [zlib.crc32(np.array([*e.ids, packing.END_ID], "<u4").tobytes()) for e in Tokenizer.from_file(tokenizer).encode_batch(texts, add_special_tokens=False)]
+    assert out.column("ids_crc32").to_pylist() == want
+    packing._vocabulary.cache_clear()
+    text = "Word word, WORD. (word)12 1 2 \u00dcber! \u00fcber"
+    list(packing._pieces(tokenizer, 4096)(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], names=["doc_id", "text"])])))
+    assert set(packing._vocabulary(tokenizer).place) == {x.encode() for x in ("word", ",", ".", "(", ")", "1", "2", "\u00fcber", "!")}
+    packing._vocabulary.cache_clear()
+
+
 def test_word_cache_is_bounded(monkeypatch, tokenizer):
     monkeypatch.setattr(packing, "CACHE_WORDS", 3)
     packing._vocabulary.cache_clear()
