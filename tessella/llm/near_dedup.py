@@ -20,6 +20,11 @@ against block: the members of its largest component, already joined, only meet
 the others, so a node of near copies costs in proportion to its size, and one of
 documents that share a template but no link costs the square of its size.
 
+Large nodes of the first trees are compared before those of the others: what they
+have joined need not meet again. Of the other trees, a large node of one
+component is left out, and one in which all but a block are of one component is
+compared as above without being branched.
+
 Defined cases: a null text or one without words has an empty set and is linked
 with nothing; rows that share a doc_id are one vertex; a row without doc_id
 can't be linked, has no component and is kept; an empty table gives an empty
@@ -46,6 +51,8 @@ TREES, COORDINATES, DEPTH = 9, 64, 8
 STUCK, STUCK_LEVELS = 0.85, 3
 #: A node with at most so many documents and shingles in all is compared exhaustively.
 NODE_ROWS, NODE_SHINGLES = 2000, 1_000_000
+#: Roots whose large nodes are compared first.
+FIRST_ROOTS = 2
 _SEEDS = textkit.mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15))
 _SIGNED = pa.int64()
 #: Ids that are broadcast at most: 16 MB.
@@ -138,21 +145,16 @@ def _full(text_at: str, k: int):
     return run
 
 
-def classes(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The least member of each of n items' class, given links."""
-    parent = list(range(n))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for x, y in zip(left.tolist(), right.tolist(), strict=True):
-        x, y = root(x), root(y)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-    return np.array([root(i) for i in range(n)])
+def classes(near: np.ndarray) -> np.ndarray:
+    """The least member of each item's class, given the symmetric matrix of links."""
+    of = np.full(len(near), -1)
+    for i in range(len(near)):
+        if of[i] < 0:
+            of[i], front = i, np.array([i])
+            while len(front):
+                front = np.flatnonzero(near[front].any(0) & (of < 0))
+                of[front] = i
+    return of
 
 
 def _nodes(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list[list]]:
@@ -184,7 +186,7 @@ def _screen(percent: int):
             for c in range(COORDINATES):
                 same += grid[:, c, None] == grid[None, :, c]
             near = (same >= least) & (100 * size[:, None] >= percent * size[None]) & (100 * size[None] >= percent * size[:, None])
-            of = classes(n, *np.nonzero(np.triu(near, 1)))
+            of = classes(near)
             for root in np.unique(of):
                 members = np.flatnonzero(of == root)
                 if len(members) > 1:
@@ -219,8 +221,11 @@ def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
         grid = np.zeros((n, 4096), np.float32)
         grid[owners[a:b], columns[a:b] - at] = 1
         common += grid @ grid.T
-    common, sizes = np.rint(common).astype(np.int32), sizes.astype(np.int32)
-    of = classes(n, *np.nonzero(np.triu((100 + percent) * common >= percent * (sizes[:, None] + sizes[None]), 1)))
+    near = np.empty((n, n), bool)
+    for at in range(0, n, 256):
+        some = slice(at, at + 256)
+        near[some] = (100 + percent) * np.rint(common[some]).astype(np.int64) >= percent * (sizes[some, None] + sizes[None])
+    of = classes(near)
     return [(int(root), i) for i, root in enumerate(of) if root != i]
 
 
@@ -269,28 +274,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a representative's keys and size; rows that repeat an id with another text stay rows of their own
     reps = named.join(heads.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["doc_id", "digest"])
     reps = work.put(reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "keys", "sign", "bits"))
-    rows = work.put(_met(reps.select("rep", "n", F.array().cast("array<long>").alias("past"), F.explode("keys").alias("node")).distinct(), total * len(roots)))
-    lists, crowded = [], None
-    for level in range(DEPTH + 1):
-        small = (F.col("n_rows") <= NODE_ROWS) & (F.col("n_shingles") <= NODE_SHINGLES) | (F.col("n_rows") == 2)
-        lists.append(work.put(_listed(rows.filter(small))))
-        large = rows.filter(~small)
-        if large.isEmpty():
-            break
-        # what hardly shrinks are copies of one text: more levels would not part them
-        stuck = F.lit(True) if level == DEPTH else F.coalesce(F.col("n_rows") >= F.get("past", F.lit(STUCK_LEVELS - 1)) * STUCK, F.lit(False))
-        kept = work.put(large.filter(stuck).select("rep", "n", "node", "n_rows", "n_shingles"))
-        if not kept.isEmpty():
-            lists.append(work.put(_listed(kept.select("rep", F.xxhash64("node", F.pmod(F.xxhash64("node", "rep"), _blocks(F.col("n_rows"), F.col("n_shingles"), 1))).alias("node")))))
-            crowded = kept if crowded is None else crowded.union(kept)
-        if level == DEPTH:
-            break
-        deeper = large.filter(~stuck).select("rep", "n", "node", F.slice(F.concat(F.array("n_rows"), "past"), 1, STUCK_LEVELS).alias("past")).join(reps.select("rep", "sign"), "rep").select("rep", "n", "past", F.explode(_children(threshold)).alias("node"))
-        above, rows = rows, work.put(_met(deeper.distinct(), 2 * rows.count()))
-        work.drop(above)
-    nodes = lists[0]
-    for more in lists[1:]:
-        nodes = nodes.union(more)
+    met = work.put(_met(reps.select("rep", "n", F.posexplode("keys").alias("tree", "node")).distinct(), total * len(roots)))
+    small = (F.col("n_rows") <= NODE_ROWS) & (F.col("n_shingles") <= NODE_SHINGLES) | (F.col("n_rows") == 2)
+    lists = [work.put(_listed(met.filter(small)))]
+
+    def branched(large: DataFrame, most: int) -> tuple[list[DataFrame], list[DataFrame]]:
+        """The lists of the small nodes below large ones, and the rows of nodes that are branched no further."""
+        lists, crowded, above, large = [], [], None, large.select("rep", "n", "node", "n_rows", "n_shingles", F.array().cast("array<long>").alias("past"))
+        for level in range(DEPTH + 1):
+            if large.isEmpty():
+                break
+            # what hardly shrinks are copies of one text: more levels would not part them
+            stuck = F.lit(True) if level == DEPTH else F.coalesce(F.col("n_rows") >= F.get("past", F.lit(STUCK_LEVELS - 1)) * STUCK, F.lit(False))
+            kept = work.put(large.filter(stuck).select("rep", "n", "node", "n_rows", "n_shingles"))
+            if not kept.isEmpty():
+                lists.append(work.put(_listed(kept.select("rep", F.xxhash64("node", F.pmod(F.xxhash64("node", "rep"), _blocks(F.col("n_rows"), F.col("n_shingles"), 1))).alias("node")))))
+                crowded.append(kept)
+            if level == DEPTH:
+                break
+            deeper = large.filter(~stuck).select("rep", "n", "node", F.slice(F.concat(F.array("n_rows"), "past"), 1, STUCK_LEVELS).alias("past")).join(reps.select("rep", "sign"), "rep").select("rep", "n", "past", F.explode(_children(threshold)).alias("node"))
+            rows = work.put(_met(deeper.distinct(), 2 * most))
+            if above is not None:
+                work.drop(above)
+            lists.append(work.put(_listed(rows.filter(small))))
+            above, large, most = rows, rows.filter(~small), rows.count()
+        return lists, crowded
+
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     together = lambda nodes, facts: nodes.distinct().select(F.xxhash64("reps").alias("node"), F.explode("reps").alias("rep")).join(facts, "rep").repartition(n, "node").sortWithinPartitions("node")
 
@@ -302,11 +311,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         full = texts.filter("doc_id is not null").join(met, "doc_id", "left_semi").mapInArrow(_full("text", k), "rep long, grams binary").filter("grams is not null")
         return together(screened, full).mapInArrow(_compare(percent), "u long, v long")
 
-    edges = work.put(compared(nodes))
+    edges, crowded = None, []
+    large, first = met.filter(~small), F.col("tree") < FIRST_ROOTS
+    if not large.isEmpty():
+        more, crowded = branched(large.filter(first), met.count())
+        lists += more
+    edges = work.put(compared(_union(lists)))
     for done in lists:
         work.drop(done)
-    if crowded is not None:
-        across = work.put(_across(crowded, components(edges, work), n))
+    if not (others := large.filter(~first)).isEmpty():
+        apart = work.put(_apart(others, components(edges, work)))
+        more, stuck = branched(apart.filter("not alike"), met.count())
+        crowded += [apart.filter("alike").select("rep", "n", "node", "n_rows", "n_shingles"), *stuck]
+        if more:
+            edges = edges.union(work.put(compared(_union(more))))
+    if crowded:
+        across = work.put(_across(_union(crowded), components(edges, work), n))
         if not across.isEmpty():
             edges = edges.union(compared(across))
     linked_ = components(edges.union(copies), work).withColumnRenamed("vertex", "doc_id")
@@ -319,11 +339,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _met(rows: DataFrame, most: int) -> DataFrame:
-    """Rows (rep, n, node, past), `most` at most, of nodes where at least two representatives meet, with the node's size."""
+    """Rows (rep, n, node and more), `most` at most, of nodes where at least two representatives meet, with the node's size."""
     sizes = rows.groupBy("node").agg(F.count("*").alias("n_rows"), F.sum("n").alias("n_shingles")).filter("n_rows > 1")
     return split_join(rows, sizes, ["node"], most)
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.union(more)
+    return out
+
+
+def _apart(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of those large nodes whose representatives `found` has in several components; `alike` where all but a block's are of one."""
+    of = found.select(F.col("vertex").alias("rep"), "component")
+    parts = rows.join(of, "rep", "left").groupBy("node", F.coalesce("component", "rep").alias("component")).agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+    nodes = parts.groupBy("node").agg(F.count("*").alias("parts"), F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles"), F.max(F.struct("rows", "shingles")).alias("main")).filter("parts > 1")
+    alike = (F.col("rows") - F.col("main.rows") <= NODE_ROWS // 2) & (F.col("shingles") - F.col("main.shingles") <= NODE_SHINGLES // 2)
+    return rows.join(F.broadcast(nodes.select("node", alike.alias("alike"))), "node")  # one row a large node: a small part of the rows
+
+
 def _merged(lists: DataFrame, sizes: DataFrame, work: Workspace) -> DataFrame:
     """One list of all representatives that lists connect, where it is of bounded size: their sets are shipped once, not for each tree. Else the lists."""
     pairs = lists.select(F.element_at("reps", 1).alias("u"), F.explode(F.slice("reps", F.lit(2), F.size("reps"))).alias("v"))

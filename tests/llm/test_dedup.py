@@ -66,6 +66,28 @@ def test_near_duplicates_in_branched_nodes(frame, writer, monkeypatch):
     assert found == {i: v[1] for i, v in brute.near_duplicates(rows, 4, 80).items()}
 
 
+def test_near_copies_do_not_meet_in_every_tree(frame, writer, monkeypatch):
+    """A large group of near copies is compared in the first trees; the others only bring what is not joined yet."""
+    monkeypatch.setattr(near_dedup, "NODE_ROWS", 40)
+    base, met, listed = writer.words(400), [], near_dedup._listed
+    rows = [(i, " ".join(writer.edited(base, 0.004))) for i in range(300)] + [(1000 + i, " ".join(writer.words(40))) for i in range(20)]
+    monkeypatch.setattr(near_dedup, "_listed", lambda rows: met.append(rows.count()) or listed(rows))
+    found = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(frame(rows), k=4).collect()}
+    assert found == {i: v[1] for i, v in brute.near_duplicates(rows, 4, 80).items()}
+    assert sum(met) < 10 * len(rows)
+
+
+def test_classes_of_links():
+    rng = np.random.default_rng(4)
+    for n, links in ((60, 25), (60, 60), (1, 0)):
+        pairs = rng.integers(0, n, (links, 2))
+        near = np.zeros((n, n), bool)
+        near[pairs[:, 0], pairs[:, 1]] = near[pairs[:, 1], pairs[:, 0]] = True
+        want = brute.components([(int(a), int(b)) for a, b in pairs if a != b])
+        assert near_dedup.classes(near).tolist() == [want.get(i, i) for i in range(n)]
+    assert not near_dedup.classes(np.ones((500, 500), bool)).any()
+
+
 def test_near_duplicates_in_a_template_group(frame, writer, monkeypatch):
     """Documents that share a template stay below the threshold but for a few pairs, and their nodes don't separate."""
     monkeypatch.setattr(near_dedup, "NODE_ROWS", 6)
