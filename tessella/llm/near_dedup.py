@@ -21,8 +21,8 @@ the others, so a node of near copies costs in proportion to its size, and one of
 documents that share a template but no link costs the square of its size.
 
 Large nodes of the first trees are compared before those of the others: what they
-have joined need not meet again. Of the other trees, a large node of one
-component is left out, and one in which all but a block are of one component is
+have joined need not meet again. Of the other trees, large nodes and what is below
+them are left out where they are of one component, and one in which all but a block are of one component is
 compared as above without being branched.
 
 Defined cases: a null text or one without words has an empty set and is linked
@@ -280,7 +280,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def branched(large: DataFrame, most: int) -> tuple[list[DataFrame], list[DataFrame]]:
         """The lists of the small nodes below large ones, and the rows of nodes that are branched no further."""
-        lists, crowded, above, large = [], [], None, large.select("rep", "n", "node", "n_rows", "n_shingles", F.array().cast("array<long>").alias("past"))
+        own = [c for c in ("rep", "n", "component") if c in large.columns]
+        lists, crowded, above, large = [], [], None, large.select(*own, "node", "n_rows", "n_shingles", F.array().cast("array<long>").alias("past"))
         for level in range(DEPTH + 1):
             if large.isEmpty():
                 break
@@ -292,7 +293,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 crowded.append(kept)
             if level == DEPTH:
                 break
-            deeper = large.filter(~stuck).select("rep", "n", "node", F.slice(F.concat(F.array("n_rows"), "past"), 1, STUCK_LEVELS).alias("past")).join(reps.select("rep", "sign"), "rep").select("rep", "n", "past", F.explode(_children(threshold)).alias("node"))
+            deeper = large.filter(~stuck).select(*own, "node", F.slice(F.concat(F.array("n_rows"), "past"), 1, STUCK_LEVELS).alias("past")).join(reps.select("rep", "sign"), "rep").select(*own, "past", F.explode(_children(threshold)).alias("node"))
             rows = work.put(_met(deeper.distinct(), 2 * most))
             if above is not None:
                 work.drop(above)
@@ -339,8 +340,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _met(rows: DataFrame, most: int) -> DataFrame:
-    """Rows (rep, n, node and more), `most` at most, of nodes where at least two representatives meet, with the node's size."""
-    sizes = rows.groupBy("node").agg(F.count("*").alias("n_rows"), F.sum("n").alias("n_shingles")).filter("n_rows > 1")
+    """Rows (rep, n, node and more), `most` at most, of nodes where at least two representatives meet, and two components if they have any, with the node's size."""
+    several = F.min("component") < F.max("component") if "component" in rows.columns else F.count("*") > 1
+    sizes = rows.groupBy("node").agg(F.count("*").alias("n_rows"), F.sum("n").alias("n_shingles"), several.alias("several")).filter("several").drop("several")
     return split_join(rows, sizes, ["node"], most)
 
 
@@ -352,9 +354,10 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def _apart(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of those large nodes whose representatives `found` has in several components; `alike` where all but a block's are of one."""
+    """The rows of those large nodes whose representatives `found` has in several components, with these; `alike` where all but a block's are of one."""
     of = found.select(F.col("vertex").alias("rep"), "component")
-    parts = rows.join(of, "rep", "left").groupBy("node", F.coalesce("component", "rep").alias("component")).agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+    rows = rows.join(of, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    parts = rows.groupBy("node", "component").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
     nodes = parts.groupBy("node").agg(F.count("*").alias("parts"), F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles"), F.max(F.struct("rows", "shingles")).alias("main")).filter("parts > 1")
     alike = (F.col("rows") - F.col("main.rows") <= NODE_ROWS // 2) & (F.col("shingles") - F.col("main.shingles") <= NODE_SHINGLES // 2)
     return rows.join(F.broadcast(nodes.select("node", alike.alias("alike"))), "node")  # one row a large node: a small part of the rows
