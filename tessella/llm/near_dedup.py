@@ -25,6 +25,8 @@ have joined need not meet again. Of the other trees, large nodes and what is bel
 them are left out where they are of one component, and one in which all but a block are of one component is
 compared as above without being branched.
 
+Few edges or lists (ALONE) are joined by one task, more by rounds of joins; the result is the same.
+
 Defined cases: a null text or one without words has an empty set and is linked
 with nothing; rows that share a doc_id are one vertex; a row without doc_id
 can't be linked, has no component and is kept; an empty table gives an empty
@@ -42,7 +44,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tessella.llm import textkit
 from tessella.llm.common import Workspace, split_join
-from tessella.llm.components import components
+from tessella.llm.components import ALONE, components, solved
 from tessella.llm.textkit import U64
 
 #: Trees, coordinates of the minwise embedding, levels of branching.
@@ -173,12 +175,13 @@ def _nodes(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterato
 
 
 def _screen(percent: int):
-    """Rows (node, rep, n, bits) of small nodes to lists of the representatives that their sketches don't keep apart."""
+    """Rows (node, rep, n, bits) of small nodes to lists of the representatives that their sketches don't keep apart, with the sizes of their sets."""
     share = percent / 100
     least = int(np.ceil(COORDINATES * (share + (1 - share) / 256) - _SLACK * np.sqrt(COORDINATES * share * (1 - share))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[list[int]] = []
+        out: list[list[tuple[int, int]]] = []
+        lists = lambda: pa.RecordBatch.from_arrays([pa.array([[x[at] for x in one] for one in out], pa.list_(pa.int64())) for at in (0, 1)], names=["reps", "sizes"])
         for reps, sizes, bits in _nodes(batches, ("rep", "n", "bits")):
             n, size = len(reps), np.array(sizes)
             grid = np.frombuffer(b"".join(bits), np.uint8).reshape(n, COORDINATES)
@@ -190,11 +193,11 @@ def _screen(percent: int):
             for root in np.unique(of):
                 members = np.flatnonzero(of == root)
                 if len(members) > 1:
-                    out.append(sorted(reps[i] for i in members))
+                    out.append(sorted((reps[i], sizes[i]) for i in members))
             if len(out) > 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], names=["reps"])
+                yield lists()
                 out = []
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], names=["reps"])
+        yield lists()
 
     return run
 
@@ -274,14 +277,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a representative's keys and size; rows that repeat an id with another text stay rows of their own
     reps = named.join(heads.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["doc_id", "digest"])
     reps = work.put(reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "keys", "sign", "bits"))
-    met = work.put(_met(reps.select("rep", "n", F.posexplode("keys").alias("tree", "node")).distinct(), total * len(roots)))
+    met = work.put(_met(reps.select("rep", "n", F.posexplode("keys").alias("tree", "node")), total * len(roots)))
     small = (F.col("n_rows") <= NODE_ROWS) & (F.col("n_shingles") <= NODE_SHINGLES) | (F.col("n_rows") == 2)
-    lists = [work.put(_listed(met.filter(small)))]
+    nodes = lambda rows: rows.filter(small).select("node", "rep")
 
-    def branched(large: DataFrame, most: int) -> tuple[list[DataFrame], list[DataFrame]]:
-        """The lists of the small nodes below large ones, and the rows of nodes that are branched no further."""
+    def branched(large: DataFrame, most: int) -> tuple[list[DataFrame], list[DataFrame], list[DataFrame]]:
+        """The rows of the small nodes below large ones, those of nodes that are branched no further, and the tables that the former are read from."""
         own = [c for c in ("rep", "n", "component") if c in large.columns]
-        lists, crowded, above, large = [], [], None, large.select(*own, "node", "n_rows", "n_shingles", F.array().cast("array<long>").alias("past"))
+        # tokens go down with the rows, so that no level looks them up again
+        large = work.put(large.join(reps.select("rep", "sign"), "rep").select(*own, "sign", "node", "n_rows", "n_shingles", F.array().cast("array<long>").alias("past")))
+        found, crowded, made = [], [], [large]
         for level in range(DEPTH + 1):
             if large.isEmpty():
                 break
@@ -289,43 +294,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             stuck = F.lit(True) if level == DEPTH else F.coalesce(F.col("n_rows") >= F.get("past", F.lit(STUCK_LEVELS - 1)) * STUCK, F.lit(False))
             kept = work.put(large.filter(stuck).select("rep", "n", "node", "n_rows", "n_shingles"))
             if not kept.isEmpty():
-                lists.append(work.put(_listed(kept.select("rep", F.xxhash64("node", F.pmod(F.xxhash64("node", "rep"), _blocks(F.col("n_rows"), F.col("n_shingles"), 1))).alias("node")))))
+                found.append(kept.select(F.xxhash64("node", F.pmod(F.xxhash64("node", "rep"), _blocks(F.col("n_rows"), F.col("n_shingles"), 1))).alias("node"), "rep"))
                 crowded.append(kept)
             if level == DEPTH:
                 break
-            deeper = large.filter(~stuck).select(*own, "node", F.slice(F.concat(F.array("n_rows"), "past"), 1, STUCK_LEVELS).alias("past")).join(reps.select("rep", "sign"), "rep").select(*own, "past", F.explode(_children(threshold)).alias("node"))
-            rows = work.put(_met(deeper.distinct(), 2 * most))
-            if above is not None:
-                work.drop(above)
-            lists.append(work.put(_listed(rows.filter(small))))
-            above, large, most = rows, rows.filter(~small), rows.count()
-        return lists, crowded
+            deeper = large.filter(~stuck).select(*own, "sign", F.slice(F.concat(F.array("n_rows"), "past"), 1, STUCK_LEVELS).alias("past"), F.explode(_children(threshold)).alias("node"))
+            rows = work.put(_met(deeper, 2 * most).withColumn("sign", F.when(~small, F.col("sign"))))
+            found.append(nodes(rows))
+            made.append(rows)
+            large, most = rows.filter(~small), rows.count()
+        return found, crowded, made
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    together = lambda nodes, facts: nodes.distinct().select(F.xxhash64("reps").alias("node"), F.explode("reps").alias("rep")).join(facts, "rep").repartition(n, "node").sortWithinPartitions("node")
+    together = lambda lists, facts: lists.distinct().select(F.xxhash64("reps").alias("node"), F.explode("reps").alias("rep")).join(facts, "rep").repartition(n, "node").sortWithinPartitions("node")
 
-    def compared(nodes: DataFrame) -> DataFrame:
-        screened = work.put(together(nodes, reps.select("rep", "n", "bits")).mapInArrow(_screen(percent), "reps array<long>").distinct())
+    def compared(lists: DataFrame) -> DataFrame:
+        screened = work.put(together(lists, reps.select("rep", "n", "bits")).mapInArrow(_screen(percent), "reps array<long>, sizes array<long>").distinct())
         screened = work.put(_merged(screened, reps.select("rep", "n"), work))
         candidates = work.put(screened.select(F.explode("reps").alias("doc_id")).distinct())
         met = F.broadcast(candidates) if candidates.count() <= BROADCAST_IDS else candidates  # else the texts are shuffled to them
         full = texts.filter("doc_id is not null").join(met, "doc_id", "left_semi").mapInArrow(_full("text", k), "rep long, grams binary").filter("grams is not null")
         return together(screened, full).mapInArrow(_compare(percent), "u long, v long")
 
-    edges, crowded = None, []
+    found, crowded, made = [nodes(met)], [], []
     large, first = met.filter(~small), F.col("tree") < FIRST_ROOTS
     if not large.isEmpty():
-        more, crowded = branched(large.filter(first), met.count())
-        lists += more
-    edges = work.put(compared(_union(lists)))
-    for done in lists:
+        more, crowded, made = branched(large.filter(first), met.count())
+        found += more
+    edges = work.put(compared(_listed(_union(found))))
+    for done in made:
         work.drop(done)
     if not (others := large.filter(~first)).isEmpty():
         apart = work.put(_apart(others, components(edges, work)))
-        more, stuck = branched(apart.filter("not alike"), met.count())
+        more, stuck, _ = branched(apart.filter("not alike"), met.count())
         crowded += [apart.filter("alike").select("rep", "n", "node", "n_rows", "n_shingles"), *stuck]
         if more:
-            edges = edges.union(work.put(compared(_union(more))))
+            edges = edges.union(work.put(compared(_listed(_union(more)))))
     if crowded:
         across = work.put(_across(_union(crowded), components(edges, work), n))
         if not across.isEmpty():
@@ -363,8 +367,34 @@ def _apart(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(nodes.select("node", alike.alias("alike"))), "node")  # one row a large node: a small part of the rows
 
 
+def _whole(most_rows: int, most_shingles: int):
+    """All lists (reps, sizes) to those that `_merged` returns, in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = [b for b in batches if b.num_rows]
+        if not lists:
+            return
+        of_list, sizes = (pa.Table.from_batches(lists)[c].combine_chunks() for c in ("reps", "sizes"))
+        lengths, reps = of_list.value_lengths().to_numpy(), of_list.flatten().to_numpy()
+        heads = reps[np.cumsum(lengths) - lengths]
+        vertices, least = solved(np.repeat(heads, lengths), reps)
+        shingles = np.zeros(len(vertices), np.int64)
+        np.maximum.at(shingles, np.searchsorted(vertices, reps), sizes.flatten().to_numpy())
+        bounded = (np.bincount(least, minlength=len(vertices)) <= most_rows) & (np.bincount(least, shingles, len(vertices)) <= most_shingles)
+        order = np.argsort(least, kind="stable")
+        order = order[bounded[least[order]]]
+        starts = np.flatnonzero(np.diff(least[order], prepend=-1))
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.append(starts, len(order)), pa.int32()), pa.array(vertices[order]))], names=["reps"])
+        yield pa.RecordBatch.from_arrays([of_list.filter(pa.array(~bounded[least[np.searchsorted(vertices, heads)]]))], names=["reps"])
+
+    return run
+
+
 def _merged(lists: DataFrame, sizes: DataFrame, work: Workspace) -> DataFrame:
     """One list of all representatives that lists connect, where it is of bounded size: their sets are shipped once, not for each tree. Else the lists."""
+    if (lists.agg(F.sum(F.size("reps"))).first()[0] or 0) <= ALONE:
+        return lists.coalesce(1).mapInArrow(_whole(NODE_ROWS, NODE_SHINGLES), "reps array<long>")
+    lists = lists.select("reps")
     pairs = lists.select(F.element_at("reps", 1).alias("u"), F.explode(F.slice("reps", F.lit(2), F.size("reps"))).alias("v"))
     found = components(pairs, work)
     of = found.join(sizes, found["vertex"] == sizes["rep"])
@@ -376,8 +406,8 @@ def _merged(lists: DataFrame, sizes: DataFrame, work: Workspace) -> DataFrame:
 
 
 def _listed(rows: DataFrame) -> DataFrame:
-    """The distinct lists of representatives of nodes of bounded size."""
-    return rows.groupBy("node").agg(F.sort_array(F.collect_set("rep")).alias("reps")).select("reps").distinct()
+    """The lists of representatives of nodes of bounded size."""
+    return rows.groupBy("node").agg(F.sort_array(F.collect_set("rep")).alias("reps")).select("reps")
 
 
 def _blocks(rows: Column, shingles: Column, parts: int) -> Column:

@@ -8,6 +8,7 @@ from tests.llm import brute
 
 from tessella.llm import near_dedup, substring_dedup, textkit
 from tessella.llm.common import Workspace
+from tessella.llm import components as components_module
 from tessella.llm.components import components
 
 
@@ -46,6 +47,30 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long"), Workspace(spark)).count() == 0
 
 
+def test_few_edges_are_solved_at_once(spark, monkeypatch):
+    """A chain, which takes several rounds, is written once and solved; by rounds and beyond the bound it comes out the same."""
+    edges, found = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(900, 1000), (800, 1000), (7, 7)], "u long, v long"), []
+    for most in (components_module.ALONE, 100):
+        monkeypatch.setattr(components_module, "ALONE", most)
+        work = Workspace(spark)
+        found.append((sorted(map(tuple, components(edges, work).collect())), work.n))
+    assert found[0][0] == found[1][0] == sorted([(i, 0) for i in range(301)] + [(x, 800) for x in (800, 900, 1000)])
+    assert found[0][1] == 2
+
+
+def test_lists_are_merged_alike_in_one_task(spark, monkeypatch):
+    """Lists that overlap become one; those that would become too large stay as they are."""
+    monkeypatch.setattr(near_dedup, "NODE_ROWS", 4)
+    sizes = spark.createDataFrame([(i, 10) for i in range(40)], "rep long, n long")
+    reps = [[1, 2], [2, 3], [1, 3], [5, 6, 7], [10, 11, 12], [12, 13, 14], [20, 21], [21, 22], [22, 23], [30, 31]]
+    lists = spark.createDataFrame([(r, [10] * len(r)) for r in reps], "reps array<long>, sizes array<long>")
+    want = [[1, 2, 3], [5, 6, 7], [10, 11, 12], [12, 13, 14], [20, 21, 22, 23], [30, 31]]
+    for most in (1000, 0):
+        monkeypatch.setattr(near_dedup, "ALONE", most)
+        assert sorted(r["reps"] for r in near_dedup._merged(lists, sizes, Workspace(spark)).collect()) == want
+    assert near_dedup._merged(lists.limit(0), sizes, Workspace(spark)).count() == 0
+
+
 @pytest.mark.parametrize("k", [4, 5])
 def test_near_duplicates(frame, corpus, k):
     found = near_dedup.near_duplicates(frame(corpus), k=k).collect()
