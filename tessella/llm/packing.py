@@ -37,6 +37,10 @@ CAPACITY = 4096
 END_ID = 1
 #: Distinct words whose ids a worker remembers.
 CACHE_WORDS = 1_000_000
+#: Bytes of words and of their ids beyond which a worker forgets them.
+CACHE_BYTES = 64 << 20
+#: Pieces that are numbered as one, and that a task places.
+BLOCK = 20_000
 #: Bytes of texts whose words are looked up at once.
 PIECE_BYTES = 1 << 19
 
@@ -196,10 +200,10 @@ _TOGETHER = 512
 def _encode(tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all words one after another, and the number of each word's."""
     (parting,) = tokenizer.encode(_PARTING, add_special_tokens=False).ids
-    runs = [words[i : i + _TOGETHER] for i in range(0, len(words), _TOGETHER)]
-    got = tokenizer.encode_batch_fast([f" {_PARTING} ".join(run) for run in runs], add_special_tokens=False)
-    flat, sizes = [], []
-    for run, enc in zip(runs, got, strict=True):
+    flat, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+    for i in range(0, len(words), _TOGETHER):  # one call each, as an encoding is far larger than its ids
+        run = words[i : i + _TOGETHER]
+        (enc,) = tokenizer.encode_batch_fast([f" {_PARTING} ".join(run)], add_special_tokens=False)
         ids = np.array(enc.ids, np.uint32)
         cuts = np.flatnonzero(ids == parting)
         if len(cuts) != len(run) - 1:  # a word holds the character itself
@@ -209,33 +213,114 @@ def _encode(tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         else:
             flat.append(ids[ids != parting])
             sizes.append(np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
-    return np.concatenate([np.zeros(0, np.uint32), *flat]), np.concatenate([np.zeros(0, np.int64), *sizes])
+    return np.concatenate(flat), np.concatenate(sizes)
+
+
+class _Grown:
+    """An array that values are added to."""
+
+    def __init__(self, kind: type):
+        self.n, self.room = 0, np.zeros(0, kind)
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.room[: self.n]
+
+    def add(self, values: np.ndarray) -> None:
+        n = self.n + len(values)
+        if n > len(self.room):
+            room = np.empty(max(n, len(self.room) * 5 // 4), self.room.dtype)
+            room[: self.n] = self.all
+            self.room = room
+        self.room[self.n : n] = values
+        self.n = n
+
+
+class _Words:
+    """Numbered words, found by hash and compared by their bytes; some 30 bytes each besides their own, where an entry of a dict takes over 100."""
+
+    def __init__(self):
+        self.hash, self.data, self.bounds, self.slots = _Grown(textkit.U64), _Grown(np.uint8), _Grown(np.int64), np.full(1 << 12, -1, np.int32)
+        self.bounds.add(np.zeros(1, np.int64))
+
+    def __len__(self) -> int:
+        return self.hash.n
+
+    def __iter__(self) -> Iterator[bytes]:
+        raw, bounds = self.data.all.tobytes(), self.bounds.all.tolist()
+        return (raw[x:y] for x, y in zip(bounds, bounds[1:]))
+
+    def _slot(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes & textkit.U64(len(self.slots) - 1)).astype(np.int64)
+
+    def find(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of each word, -1 if it is unknown, and whether no word has its hash."""
+        at, left, slot, known = np.full(len(hashes), -1), np.arange(len(hashes)), self._slot(hashes), self.hash.all
+        while len(left):
+            got = self.slots[slot]
+            left, slot, got = left[got >= 0], slot[got >= 0], got[got >= 0]
+            hit = known[got] == hashes[left]
+            at[left[hit]] = got[hit]
+            left, slot = left[~hit], (slot[~hit] + 1) % len(self.slots)
+        free, hits = at < 0, np.flatnonzero(at >= 0)
+        begin, size = self.bounds.all[at[hits]], (stop - start)[hits]
+        alike = size == self.bounds.all[at[hits] + 1] - begin
+        at[hits[~alike]] = -1
+        hits, begin, size = hits[alike], begin[alike], size[alike]
+        inside = textkit.ramp(size)
+        other = data[np.repeat(start[hits], size) + inside] != self.data.all[np.repeat(begin, size) + inside]
+        at[np.repeat(hits, size)[other]] = -1
+        return at, free
+
+    def add(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray, hashes: np.ndarray, free: np.ndarray) -> np.ndarray:
+        """Numbers of new words; of words of one hash, the first is found later."""
+        numbers, size = np.arange(len(hashes)) + len(self), stop - start
+        self.bounds.add(self.data.n + np.cumsum(size))
+        self.data.add(data[np.repeat(start, size) + textkit.ramp(size)])
+        self.hash.add(hashes)
+        _, first = np.unique(hashes, return_index=True)
+        found = numbers[first[free[first]]]
+        if 2 * len(self) > len(self.slots):
+            found = np.concatenate([self.slots[self.slots >= 0], found])
+            self.slots = np.full(1 << (2 * len(self) - 1).bit_length(), -1, np.int32)
+        slot = self._slot(self.hash.all[found])
+        while len(found):
+            empty = self.slots[slot] < 0
+            self.slots[slot[empty]] = found[empty]
+            lost = self.slots[slot] != found
+            found, slot = found[lost], (slot[lost] + 1) % len(self.slots)
+        return numbers
 
 
 class _Vocabulary:
-    """Ids of words, for at most CACHE_WORDS words besides those of the text at hand."""
+    """Ids of words, for at most CACHE_WORDS words and CACHE_BYTES besides those of the text at hand."""
 
     def __init__(self, path: str):
-        self.path, self.place = path, {}
-        self.begin, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.path, self.place, self.ids, self.bounds = path, _Words(), _Grown(np.uint32), _Grown(np.int64)
+        self.bounds.add(np.zeros(1, np.int64))
 
-    def look_up(self, words: list[bytes], odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    @property
+    def flat(self) -> np.ndarray:
+        return self.ids.all
+
+    def look_up(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray, hashes: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Begin in `flat` and number of ids of each of the distinct words; what is not odd is a run."""
-        at = np.fromiter((self.place.get(w, -1) for w in words), np.int64, len(words))
+        at, free = self.place.find(data, start, stop, hashes)
         missing = np.flatnonzero(at < 0)
         if len(missing):
-            if self.place and len(self.place) + len(missing) > CACHE_WORDS:
+            if len(self.place) and (len(self.place) + len(missing) > CACHE_WORDS or self.place.data.n + self.flat.nbytes > CACHE_BYTES):
                 self.__init__(self.path)
-                return self.look_up(words, odd)
+                return self.look_up(data, start, stop, hashes, odd)
             missing = np.concatenate([missing[odd[missing]], runs := missing[~odd[missing]]])
-            whole = [words[i].decode() for i in missing]
-            (flat, size), (more, sizes) = _encode(_tokenizer(self.path), whole[: len(whole) - len(runs)]), _encode(_plain(self.path), whole[len(whole) - len(runs) :])
-            flat, size = np.concatenate([flat, more]), np.concatenate([size, sizes])
-            at[missing] = np.arange(len(missing)) + len(self.begin)
-            self.place.update(zip((words[i] for i in missing), at[missing].tolist(), strict=True))
-            self.begin, self.size = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size]), np.concatenate([self.size, size])
-            self.flat = np.concatenate([self.flat, flat])
-        return self.begin[at], self.size[at]
+            raw = data.tobytes()
+            whole = [raw[x:y].decode() for x, y in zip(start[missing].tolist(), stop[missing].tolist(), strict=True)]
+            for tokenizer, words in ((_tokenizer, whole[: len(whole) - len(runs)]), (_plain, whole[len(whole) - len(runs) :])):
+                flat, size = _encode(tokenizer(self.path), words)
+                self.bounds.add(self.ids.n + np.cumsum(size))
+                self.ids.add(flat)
+            at[missing] = self.place.add(data, start[missing], stop[missing], hashes[missing], free[missing])
+        begin = self.bounds.all[at]
+        return begin, self.bounds.all[at + 1] - begin
 
 
 def _same(words: textkit.Words, data: np.ndarray, other: np.ndarray) -> bool:
@@ -277,11 +362,10 @@ def _pieces(path: str, capacity: int):
                     odd = np.ones(len(words.start), bool)
                 else:
                     data, words, odd = _runs(data, offs, of_bytes)
-                raw = data.tobytes()
                 _, at, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
                 if not _same(words, data, at[inverse]):  # two words have one hash
                     at = inverse = np.arange(len(words.hash))
-                begin, sizes = vocabulary.look_up([raw[x:y] for x, y in zip(words.start[at].tolist(), words.stop[at].tolist(), strict=True)], odd[at])
+                begin, sizes = vocabulary.look_up(data, words.start[at], words.stop[at], words.hash[at], odd[at])
                 each = sizes[inverse]
                 stream = vocabulary.flat[np.repeat(begin[inverse], each) + textkit.ramp(each)]
                 ends = np.append(0, np.cumsum(each))[words.first[1:]]
@@ -331,7 +415,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     # capacity rows at most, however many pieces
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     table, offsets = slots(patterns(counts, capacity))
-    blocks = max(1, -(-sum(counts.values()) // 20_000))
+    blocks = max(1, -(-sum(counts.values()) // BLOCK))
     block = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks))
     dealt = cut.withColumn("block", block)
     # prefix sums over the blocks of one length: as many rows a length as there are blocks
@@ -339,5 +423,6 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     base = dealt.groupBy("length", "block").agg(F.count("*").alias("n")).select("length", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("length", "block").orderBy("doc_id", "piece")
     numbered = dealt.withColumn("number", F.row_number().over(within)).join(base, ["length", "block"]).withColumn("number", F.col("number") - 1 + F.col("base"))
-    rows = numbered.select("doc_id", "piece", "start", "length", "ids_crc32", "number")
+    # a task and a file for as many pieces as a block has: where files are set up by child processes, each counts
+    rows = numbered.select("doc_id", "piece", "start", "length", "ids_crc32", "number").coalesce(max(spark.sparkContext.defaultParallelism, blocks))
     return rows.mapInArrow(_placed(table, offsets), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -378,3 +378,57 @@ def test_tags_end_behind_quotes():
     assert texts('<p title="a > b">one</p><p title=\'x">\'>two</p>') == ["one", "two"]
     assert texts('<p title="open>one</p>two') == ["one", "two"] and texts("a < b <c") == ["a < b <c"] and texts("1 <2> 3") == ["1 <2> 3"]
     assert texts("<script>if (a<b) '</p>'</script >x<!DOCTYPE y>") == ["x"] and texts("<b>one <i>two</b> three</i><p>four") == ["one two three", "four"]
+
+
+def test_word_cache_is_small(monkeypatch, tokenizer):
+    """A remembered word takes less than 100 bytes with its ids; words are forgotten beyond CACHE_BYTES."""
+    import tracemalloc
+
+    def pieces(text):
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], names=["doc_id", "text"])
+        return [x.column("ids_crc32").to_pylist() for x in packing._pieces(tokenizer, 4096)(iter([batch]))]
+
+    letters = [chr(97 + i) for i in range(26)]
+    texts = [" ".join(f"{a}{b}{c}{d}" for b in letters for c in letters for d in letters) for a in "qz"]
+    packing._vocabulary.cache_clear()
+    pieces("a")
+    tracemalloc.start()
+    want = [pieces(x) for x in texts]
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    place = packing._vocabulary(tokenizer).place
+    assert len(place) == 2 * 26**3 + 1 and held < 100 * len(place)
+    monkeypatch.setattr(packing, "CACHE_BYTES", 1000)
+    packing._vocabulary.cache_clear()
+    assert [pieces(x) for x in texts] == want and len(packing._vocabulary(tokenizer).place) == 26**3
+    packing._vocabulary.cache_clear()
+
+
+def test_remembered_words_of_one_hash_keep_their_ids(monkeypatch, tokenizer):
+    """A word is not taken for one of another batch that has its hash, whatever their lengths."""
+    batches = [pa.RecordBatch.from_arrays([pa.array([1]), pa.array([t])], names=["doc_id", "text"]) for t in ("one", "two", "three one", "two", "one", "it\u0301s one", "\u4e2d")]
+    packing._vocabulary.cache_clear()
+    want = list(packing._pieces(tokenizer, 4096)(iter(batches)))
+
+    class Alike(packing.textkit.Words):
+        def __init__(self, *args, **more):
+            super().__init__(*args, **more)
+            self.hash = np.zeros_like(self.hash)
+
+    monkeypatch.setattr(packing.textkit, "Words", Alike)
+    packing._vocabulary.cache_clear()
+    assert list(packing._pieces(tokenizer, 4096)(iter(batches))) == want
+    packing._vocabulary.cache_clear()
+
+
+def test_packing_writes_few_files(frame, tokenizer, spark):
+    """Places are given by as many tasks as blocks or cores, not by one for each shuffle partition."""
+    adaptive, partitions = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "61")
+    try:
+        found = packing.pack(frame([(i, f"word {i}" + " more" * (i % 7)) for i in range(300)]), tokenizer)
+        assert found.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism and found.count() == 300
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
